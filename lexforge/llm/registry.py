@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .matroska import op1_matroska
+from .toxicity import op7_toxicity
 
-QUERIES = {"op1_matroska": op1_matroska}
+QUERIES = {"op1_matroska": op1_matroska, "op7_toxicity": op7_toxicity}
 ORACLES: dict[str, str] = {}
