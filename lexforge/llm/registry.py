@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .matroska import op1_matroska
+from .packing import op9_packing
 from .toxicity import op7_toxicity
 
-QUERIES = {"op1_matroska": op1_matroska, "op7_toxicity": op7_toxicity}
+QUERIES = {"op1_matroska": op1_matroska, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing}
 ORACLES: dict[str, str] = {}
