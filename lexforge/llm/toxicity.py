@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, buffer, crc_mod, pieces, table
+from .common import _LOWER, buffer, crc_mod, table
+from .common import pieces as _pieces
 
 #: Lengths of n-grams in bytes, buckets of their hashes, features of the model, rows fitted per class.
 ORDERS = (3, 4, 5, 6)
@@ -34,6 +35,10 @@ PAD = max(ORDERS)
 THRESHOLD = 0.7
 
 
+def pieces(at: np.ndarray):
+    return _pieces(at, 1 << 20)
+
+
 def _padded(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lower-cased texts of a piece with blanks around each, and where each begins there."""
     n = np.diff(at)
@@ -47,7 +52,9 @@ def _padded(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def hits(raw: np.ndarray, at: np.ndarray, wanted: np.ndarray | None):
     """Distinct (text, bucket) pairs; ``wanted`` says by bucket which to keep (None: all)."""
     found = []
+    kind = np.uint32 if len(at) <= 1 << (32 - BITS) else np.uint64  # of (text, bucket) in one number
     buf, begin = _padded(raw, at)
+    owner = np.repeat(np.arange(len(begin), dtype=np.uint32), np.diff(at) + 2 * PAD) if wanted is None else None
     b = buf.astype(np.uint32)
     h = b
     for order in range(2, max(ORDERS) + 1):
@@ -55,11 +62,13 @@ def hits(raw: np.ndarray, at: np.ndarray, wanted: np.ndarray | None):
         if order not in ORDERS:
             continue
         bucket = ((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(order * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(32 - BITS)
-        place = np.flatnonzero(wanted[bucket]) if wanted is not None else np.arange(len(bucket))
-        text = np.searchsorted(begin, place, side="right") - 1
-        found.append((text.astype(np.int64) << BITS) | bucket[place])
-    keys = np.unique(np.concatenate(found))
-    return keys >> BITS, keys & ((1 << BITS) - 1)
+        place = np.flatnonzero(wanted[bucket]) if wanted is not None else slice(None)
+        text = np.searchsorted(begin, place, side="right") - 1 if wanted is not None else owner[: len(bucket)]
+        found.append((text.astype(kind) << kind(BITS)) | bucket[place].astype(kind))
+    keys = np.concatenate(found)
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    return (keys >> kind(BITS)).astype(np.int64), (keys & kind((1 << BITS) - 1)).astype(np.int64)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,13 +161,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.02, steps: int = 400)
     """Logistic regression with classes of equal weight, by accelerated gradient steps."""
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     scale = max(1e-9, float(np.sqrt((x * x).sum(1).mean())))
-    w, v, c, vc = (np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0.0, 0.0)
-    rate = 2.0 / scale**2
+    w, v, c, vc = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0.0, 0.0
+    share = share.astype(np.float32)
+    rate, pull = np.float32(2.0 / scale**2), np.float32(l2 * scale**2 / x.shape[1])
     for t in range(1, steps + 1):
-        m = t / (t + 3)
-        lw, lc = w + m * v, c + m * vc
-        g = (1 / (1 + np.exp(-np.clip(x @ lw + lc, -30, 30))) - y) * share
-        nw, nc = lw - rate * (x.T @ g + l2 * lw * scale**2 / x.shape[1]), lc - g.sum()
+        m = np.float32(t / (t + 3))
+        lw, lc = w + m * v, c + float(m) * vc
+        g = ((1 / (1 + np.exp(-np.clip(x @ lw + np.float32(lc), -30, 30))) - y) * share).astype(np.float32)
+        nw, nc = lw - rate * (x.T @ g + pull * lw), lc - float(g.sum())
         v, vc, w, c = nw - w, nc - c, nw, nc
     return w.astype(np.float32), float(c)
 
