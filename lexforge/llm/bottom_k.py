@@ -29,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer, cut, mix, pieces, table, word_hashes
+from .common import buffer, cut, mix, pieces, small, table, word_hashes
 
 K = 64
 HALF = 32
 SHORT = 64
 LEADERS = 4
-#: Rows that may be broadcast: 16 bytes each, some 40 MB as a hash table.
-SMALL = 500_000
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int):
@@ -84,11 +82,6 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, set binary")
 
 
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to be small; else as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 # ---- lists -------------------------------------------------------------------------------------------
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, buffer, crc_mod, table
+from .common import _LOWER, buffer, crc_mod, small, table
 from .common import pieces as _pieces
 
 #: Lengths of n-grams in bytes, buckets of their hashes, features of the model, rows fitted per class.
@@ -74,7 +74,7 @@ def hits(raw: np.ndarray, at: np.ndarray, wanted: np.ndarray | None):
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic 0/1) of the rows to learn from."""
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1)).select(F.col("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 3) != 1).join(y, "doc_id")
+    return docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 3) != 1).join(small(y), "doc_id")
 
 
 def _counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
