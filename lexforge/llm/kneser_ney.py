@@ -40,6 +40,8 @@ from .common import buffer, crc_mod, cut, mix, pieces, scratch_path, table, word
 
 #: Buckets of the model. A bucket is one task's work and memory: at 2**8, some 16 MB for each GB of input.
 BUCKETS = 256
+#: Tokens that a task reduces at a time.
+RUN = 3_000_000
 END = np.uint64(0x2545F4914F6CDD1D)
 _A = np.uint64(0x9FB21C651E98DF25)
 
@@ -82,25 +84,28 @@ def _runs(train: DataFrame, n_buckets: int) -> DataFrame:
         size = 0
 
         def flush():
-            v, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            o = np.argsort(bucket_of(v, n_buckets), kind="stable")
-            v, w, c = v[o], w[o], c[o]
-            cuts = np.searchsorted(bucket_of(v, n_buckets), np.arange(n_buckets + 1))
-            rows = [(b, i, j) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+            v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            b = bucket_of(v, n_buckets).astype(np.uint16)
+            o = np.argsort(b, kind="stable")
+            cuts = np.searchsorted(b[o], np.arange(n_buckets + 1))
+            v, w = v[o], w[o]
+            del b, o
+            rows = [(k, i, j) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
             for k in range(0, len(rows), 32):
                 some = rows[k : k + 32]
-                out = [encode(*merged(v[i:j], w[i:j], c[i:j])) for _, i, j in some]
+                out = [encode(*merged(v[i:j], w[i:j], np.ones(j - i, np.int64))) for _, i, j in some]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in some], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "pairs"])
 
         for batch in batches:
             raw, at = buffer(batch.column(0))
-            for i, j in pieces(at, 1 << 23):
+            for i, j in pieces(at, 1 << 21):
                 tok, _ = tokens(raw, at[i : j + 1])
-                held.append((before(tok), tok, np.ones(len(tok), np.int64)))
+                held.append((before(tok), tok))
                 size += len(tok)
-                if size > 4_000_000:
+                if size > RUN:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush()
 
@@ -310,7 +315,7 @@ def scores(docs: DataFrame, totals: dict, folder: str, keep: list[str] | None =
         for batch in batches:
             raw, at = buffer(batch.column(0))
             out = [np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)]
-            for i, j in pieces(at, 1 << 24):
+            for i, j in pieces(at, 1 << 21):
                 tok, cuts = tokens(raw, at[i : j + 1])
                 prev = before(tok)
                 # distinct words first, then their pairs: each is looked up once in a piece
