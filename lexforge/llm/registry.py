@@ -8,7 +8,8 @@ from .licenses import op2_diagonals
 from .matroska import op1_matroska
 from .packing import op9_packing
 from .quality import op4_log_ratio
+from .secrets import op5_ownership
 from .toxicity import op7_toxicity
 
-QUERIES = {"op1_matroska": op1_matroska, "op2_diagonals": op2_diagonals, "op4_log_ratio": op4_log_ratio, "op7_toxicity": op7_toxicity, "op8_bottom_k": op8_bottom_k, "op9_packing": op9_packing, "op10_kneser_ney": op10_kneser_ney}
+QUERIES = {"op1_matroska": op1_matroska, "op2_diagonals": op2_diagonals, "op4_log_ratio": op4_log_ratio, "op5_ownership": op5_ownership, "op7_toxicity": op7_toxicity, "op8_bottom_k": op8_bottom_k, "op9_packing": op9_packing, "op10_kneser_ney": op10_kneser_ney}
 ORACLES: dict[str, str] = {}
