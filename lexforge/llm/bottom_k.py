@@ -11,8 +11,10 @@ A document's set holds the 64-bit hashes of its word shingles; its sketch is the
 3. Inverted lists of those values generate pairs: short lists (at most SHORT) all of their pairs; long ones only
    pairs with a few leaders. The union sketch estimates the similarity and drops pairs far below; the full sets
    confirm links.
-4. What is not in the largest component of a long list after that is compared, block by block, with all of the
-   list in other components, so that no link between components is lost. Links inside a component change nothing.
+4. What long lists connect is a region. What is not in the largest component of its region after that is compared by
+   its full set, block by block, with all of the region, so that no link between components is lost; a block emits
+   at most a pair a row. Links inside a component change nothing. The work here is that of a region's outsiders times the
+   region, some nanoseconds a pair and shared value.
 5. Components: minimum labels by alternating large and small stars, on tables in the shared folder.
 
 Nothing of the size of the documents reaches the driver; a side is broadcast only after its rows are counted.
@@ -35,6 +37,8 @@ K = 64
 HALF = 32
 SHORT = 64
 LEADERS = 4
+#: Values of the sets in a block, 8 bytes each; a set with more is alone.
+BLOCK = 1 << 17
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int):
@@ -103,7 +107,7 @@ def lists(reps: DataFrame) -> DataFrame:
     """(value, id, n): the inverted lists of the values that a pair must share one of; see 2. above."""
     every = _values(reps)
     shared = cut(every.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-values")
-    have = every.join(small(shared), "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))  # K entries at most
+    have = every.join(shared, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))  # K entries at most
     kept = F.least("n", F.lit(K))
     need = F.when(F.col("n") <= K * 4 // 5, F.ceil(F.col("n") * 4 / 5)).otherwise(F.lit(HALF))
     room = (kept - need + 1 - (kept - F.size("v"))).cast("int")  # values that no other has come first and have no list
@@ -176,38 +180,43 @@ class Links:
         root = lambda k: F.coalesce(f"root_{k}", k)
         return pairs.join(a, "a", "left").join(b, "b", "left").where(root("a") != root("b")).select("a", "b")
 
-    def confirm(self, pairs: DataFrame) -> int:
-        """Adds the links among ``pairs``; how many there are."""
+    def confirm(self, pairs: DataFrame) -> None:
+        """Adds the links among ``pairs``."""
         likely = cut(_both(self.crossing(pairs), self.held, "sketch", _union_estimate), "near-likely")
         found = cut(_both(likely, self.sets, "set", _linked), "near-links")
-        n = found.count()
-        if n:
-            self.links = found if self.links is None else self.links.unionByName(found)
-            star = found if self.labels is None else self.labels.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found)
-            self.labels = components(star)
-        return n
+        self.links = found if self.links is None else self.links.unionByName(found)
+        self.add(found)
+
+    def add(self, found: DataFrame) -> None:
+        """Joins the components that the links ``found`` connect."""
+        star = found if self.labels is None else self.labels.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found)
+        self.labels = components(star)
+
+
+def stars(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of the edges (x, y): each id that isn't the smallest of its component, and that one."""
+    if not len(x):
+        return x, y
+    ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    p, q = at[: len(x)], at[len(x) :]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[p], root[q])
+        new = root.copy()
+        np.minimum.at(new, root[p], low)
+        np.minimum.at(new, root[q], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    far = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[far], ids[root[far]]
 
 
 def _local_stars(edges: DataFrame) -> DataFrame:
-    """Within each batch, the stars of its components: (a, b) with b the smallest of the component."""
-
     def run(batches):
         for batch in batches:
-            x, y = (c.to_numpy() for c in batch.columns)
-            ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-            p, q = at[: len(x)], at[len(x) :]
-            root = np.arange(len(ids))
-            while True:
-                low = np.minimum(root[p], root[q])
-                new = root.copy()
-                np.minimum.at(new, root[p], low)
-                np.minimum.at(new, root[q], low)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
-            far = np.flatnonzero(root != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in stars(*(c.to_numpy() for c in batch.columns))], names=["a", "b"])
 
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
@@ -252,46 +261,61 @@ def _leaders(rows: DataFrame, order: list) -> DataFrame:
     return first.select("value", F.explode(F.array_distinct(many)).alias("l")).select("value", "l.*")
 
 
-def _rest_pairs(rows: DataFrame, links: Links) -> DataFrame:
-    """Of long lists, the likely pairs between components with one side outside of the list's largest component."""
-    labels = links.labels
-    rows = rows.join(labels, "id", "left").select("value", "id", "n", F.coalesce("root", "id").alias("root")) if labels is not None else rows.withColumn("root", F.col("id"))
-    sizes = rows.groupBy("value", "root").agg(F.count(F.lit(1)).alias("size"))
-    top = sizes.groupBy("value").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("all"))
-    top = top.where(F.col("all") > F.col("top.size")).select("value", F.col("top.root").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / 256).cast("int").alias("parts"), F.ceil(F.col("all") / 512).cast("int").alias("blocks"))
-    rows = cut(rows.join(small(top), "value"), "near-rest")
-    if not rows.limit(1).count():
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    # the long lists of an id, to take a pair in the first list only that both are in
-    held = links.held.select("id", "sketch").join(rows.groupBy("id").agg(F.sort_array(F.collect_set("value")).alias("values")), "id")  # K values at most
-    rows = rows.join(held, "id")
+def _common(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``one`` with all of ``two``, by products of bit matrices, some columns at a time."""
+    n = [len(x) for x in one + two]
+    owner = np.repeat(np.arange(len(n)), n)
+    _, column, times = np.unique(np.concatenate(one + two), return_inverse=True, return_counts=True)
+    some = times > 1
+    column, owner = (np.cumsum(some) - 1)[column[some[column]]], owner[some[column]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    total = int(some.sum())
+    for k in range(0, total, width):
+        i, j = np.searchsorted(column, (k, k + width))
+        bits = np.zeros((len(n), min(width, total - k)), np.float32)
+        bits[owner[i:j], column[i:j] - k] = 1
+        out += bits[: len(one)] @ bits[len(one) :].T
+    return out
+
+
+def _rest_links(rows: DataFrame, links: Links) -> DataFrame:
+    """What long lists still link between components: pairs (a, b) that are connected by links between exact sets.
+
+    Regions are the ids that long lists connect. What lies outside of the largest component of its region, in parts, is
+    compared with all of the region, in blocks; parts and blocks hold some BLOCK values each.
+    """
+    first = rows.groupBy("value").agg(F.min("id").alias("b"))
+    regions = components(rows.join(small(first), "value").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    d = rows.select("id", "n").distinct().join(regions.withColumnRenamed("root", "region"), "id", "left").withColumn("region", F.coalesce("region", "id"))
+    d = d.join(links.labels, "id", "left").withColumn("root", F.coalesce("root", "id")) if links.labels is not None else d.withColumn("root", F.col("id"))
+    d = cut(d, "near-regions")
+    sizes = d.groupBy("region", "root").agg(F.sum("n").alias("size"))
+    top = sizes.groupBy("region").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("all")).where(F.col("all") > F.col("top.size"))
+    up = lambda c: F.ceil(c / BLOCK).cast("int")
+    top = top.select("region", F.col("top.root").alias("main"), up(F.col("all") - F.col("top.size")).alias("parts"), up(F.col("all")).alias("blocks"))
+    d = d.join(small(top), "region").join(links.sets, "id")
     h = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    few = rows.where("root <> main").withColumn("i", h("parts")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("few", F.lit(True))
-    all_ = rows.withColumn("j", h("blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("few", F.lit(False))
-    cols = ["value", "i", "j", "few", "id", "n", "root", "sketch", "values"]
+    few = d.where("root <> main").withColumn("i", h("parts")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("few", F.lit(True))
+    every = d.withColumn("j", h("blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("few", F.lit(False))
+    columns = ["region", "i", "j", "few", "id", "root", "set"]
 
     def run(t: pa.Table) -> pa.Table:
         few = t["few"].to_numpy()
-        ids, n, root = (t[c].to_numpy() for c in ("id", "n", "root"))
-        s = [np.frombuffer(x.as_py(), np.uint64) for x in t["sketch"]]
-        values = [set(x.as_py()) for x in t["values"]]
-        here = t["value"][0].as_py()
-        kinds, at = np.unique(np.concatenate(s), return_inverse=True)
-        bits = np.zeros((len(s), len(kinds)), np.float32)
-        bits[np.repeat(np.arange(len(s)), [len(x) for x in s]), at] = 1
+        ids, root = t["id"].to_numpy(), t["root"].to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["set"]]
         one, two = np.flatnonzero(few), np.flatnonzero(~few)
-        common = bits[one] @ bits[two].T
-        ok = (root[one][:, None] != root[two]) & (5 * n[one][:, None] >= 4 * n[two]) & (5 * n[two] >= 4 * n[one][:, None])
-        ok &= common >= np.minimum(HALF, np.ceil(0.8 * n[one]))[:, None]
-        a, b = [], []
-        for p, q in zip(*np.nonzero(ok), strict=True):
-            x, y = one[p], two[q]
-            if min(values[x] & values[y]) == here and _union_estimate(s[x], s[y]):
-                a.append(min(ids[x], ids[y]))
-                b.append(max(ids[x], ids[y]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        x = y = np.zeros(0, np.int64)
+        if len(one) and len(two):
+            n = np.array([len(s) for s in sets])
+            common = _common([sets[k] for k in one], [sets[k] for k in two])
+            ok = 5 * common >= 4 * (n[one][:, None] + n[two] - common)
+            p, q = np.nonzero(ok & (root[one][:, None] != root[two]))
+            x, y = stars(ids[one[p]], ids[two[q]])
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
-    return few.select(cols).unionByName(all_.select(cols)).groupBy("value", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return few.select(columns).unionByName(every.select(columns)).groupBy("region", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -313,7 +337,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
             degree = links.links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
             ranked = long_.join(degree, "id", "left")
             links.confirm(_star_pairs(long_, _leaders(ranked, [-F.coalesce("degree", F.lit(0))])))
-        links.confirm(_rest_pairs(long_, links))
+        links.add(_rest_links(long_, links))
     else:
         links.confirm(first)
     rep = reps.select("d1", "d2", F.col("n").alias("_n"), "id")
