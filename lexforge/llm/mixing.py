@@ -177,7 +177,7 @@ def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return x.select(docs.columns)
 
 
-def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sizes(table(spark, sf_dir, "documents"))
     goal, drawn = plan(d)
     got = takes(d, drawn).groupBy("doc_id", "text_hash", "source").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"))
