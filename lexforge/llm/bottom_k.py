@@ -58,7 +58,7 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int):
 
 
 def sketches(docs: DataFrame, width: int, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """doc_id, n, d1 and d2 (a digest of the set), sketch (K smallest values, as bytes)."""
+    """doc_id, text_hash, n, d1 and d2 (a digest of the set), sketch (K smallest values, as bytes)."""
 
     def run(batches):
         for batch in batches:
@@ -71,9 +71,9 @@ def sketches(docs: DataFrame, width: int, text_column: str = "text", id_column:
                     d2.append(int(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)) if len(s) else 0)
                     kept.append(s[:K].tobytes())
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(d1), signed(d2), pa.array(kept, pa.binary())], names=["doc_id", "n", "d1", "d2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), signed(d1), signed(d2), pa.array(kept, pa.binary())], names=["doc_id", "text_hash", "n", "d1", "d2", "sketch"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, d1 long, d2 long, sketch binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -319,7 +319,7 @@ def _rest_links(rows: DataFrame, links: Links) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, text_hash, kept."""
     mine = cut(sketches(docs, width), "near-sketches")
     classes = mine.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch"))
     reps = cut(classes, "near-classes")
@@ -348,8 +348,8 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     rep = rep.withColumnsRenamed({"d1": "_d1", "d2": "_d2"})
     out = mine.join(rep, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n") == F.col("_n")), "left")
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), 4)
+    return near_duplicates(table(spark, sf_dir, "documents"), 4).select("doc_id", "n_shingles", "component_id", "kept")

@@ -3,20 +3,22 @@
 1. Targets: of all words, each source gets a share by weight, at most ``REPEATS`` times its own words; the excess is
    shared again by weight. This is the level at which sum(min(cap, level * weight)) is the total, found by one pass over
    the sources in the order of cap / weight.
-2. A source's documents fall into at most ``BLOCKS`` blocks by a hash. Epoch by epoch a source's blocks are drawn in a
-   permuted order until they hold its target: whole epochs draw all, the last one some. Of its last block, documents in
-   permuted order are taken while they fit, and the one that doesn't is cut after the word that fills the target.
+2. A source's documents fall by a hash into blocks of some ``BLOCK_WORDS`` words, at most ``MOST_BLOCKS`` blocks. Epoch by
+   epoch a source's blocks are drawn in a permuted order until they hold its target: whole epochs draw all, the last one
+   some. Of its last block, documents in permuted order are taken while they fit, and the one that doesn't is cut after
+   the word that fills the target.
 3. The tree: the root holds each source's exact number of draws; each node gives half of its shards' draws to the
    left, source after source by a hypergeometric draw, until each leaf is one shard. Numbers come from hashes.
 4. A source's draws go in their permuted order to the shards by their quotas, so shards draw disjoint blocks; a shard
    is shuffled by sorting by a hash of draw and document, within itself.
 
-Documents move once, as (id, source, size). Blocks and quotas are tables of at most sources times BLOCKS rows. No source,
-however large, is in one task: a block holds a share of 1 / BLOCKS of its source, and only the last block of a source is
-ordered within. Everything is DataFrame functions.
+Documents move once, as (id, source, size). Blocks and quotas are tables of at most sources times MOST_BLOCKS rows. No
+source, however large, is in one task: only its blocks are ordered, and the documents of its last block. Everything is
+DataFrame functions.
 
 Defined results: a null text has no words; a null source is one source, the last; sources without words get nothing and
-their target is 0; rows that share doc_id, source and size are taken alike but for the cut one (ties by text hash).
+their target is 0; rows that share doc_id, text and source are taken alike (the cut one, if they are in the last block,
+as far as the longer of them); without rows there is no mix.
 """
 
 from __future__ import annotations
@@ -25,25 +27,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, small, table
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-BLOCKS = 1024
+#: Words in a block, about, and most blocks of a source: a window over one source's blocks has no more rows.
+BLOCK_WORDS = 2_000
+MOST_BLOCKS = 1 << 16
+#: Least shards, and words in a shard beyond that, about.
 SHARDS = 16
+SHARD_WORDS = 10_000_000
 SEED = 1234
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), text_hash, block. Written to the shared folder: the texts are read once."""
+    """doc_id, source, size (words), text_hash. Written to the shared folder: the texts are read once."""
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select("doc_id", "source", n.alias("size"), F.xxhash64("text").alias("text_hash"))
-    return cut(d.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text_hash"), F.lit(BLOCKS)).cast("int")), "mix-sizes")
+    return cut(docs.select("doc_id", "source", n.alias("size"), F.xxhash64("text").alias("text_hash")), "mix-sizes")
 
 
-def targets(blocks: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """source, source_size, weight, target. ``blocks`` has source and size (words)."""
-    s = blocks.groupBy("source").agg(F.sum("size").alias("source_size"))
+def blocked(d: DataFrame, goal: DataFrame) -> DataFrame:
+    """``sizes`` with the block of each document."""
+    n = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS))).cast("int")
+    g = goal.select(F.col("source").alias("_source"), n.alias("_blocks"))
+    block = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text_hash"), F.col("_blocks")).cast("int")
+    return d.join(small(g, 100_000), d.source.eqNullSafe(g._source)).select(*d.columns, block.alias("block"))
+
+
+def targets(d: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """source, source_size, weight, target. ``d`` has source and size (words)."""
+    s = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     # windows over the sources, a row for each
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     s = s.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int")))
@@ -83,66 +96,76 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     low, high = F.greatest(F.lit(0).cast("long"), drawn + marked - total), F.least(drawn, marked)
     mode = F.least(high, F.greatest(low, F.floor((f(drawn) + 1) * (f(marked) + 1) / (f(total) + 2))))
     sd = F.sqrt(f(drawn) * f(marked) / F.greatest(f(total), F.lit(1.0)) * (1 - f(marked) / F.greatest(f(total), F.lit(1.0))))
-    reach = (40 + 12 * sd).cast("long")
-    up, down = F.least(high - mode, reach), F.least(mode - low, reach)
-    ratio = lambda k: (f(marked) - k) * (f(drawn) - k) / ((k + 1) * (f(total) - f(marked) - f(drawn) + k + 1))  # noqa: E731  p(k + 1) / p(k)
+    # what is used often is bound to a name, so that it is computed once
+    known = F.struct(mode.alias("mode"), F.least(high - mode, (40 + 12 * sd).cast("long")).alias("up"), F.least(mode - low, (40 + 12 * sd).cast("long")).alias("down"), f(marked).alias("marked"), f(drawn).alias("drawn"), (f(total) - f(marked) - f(drawn)).alias("rest"))
+    return _bound(known, lambda x: F.coalesce(_bound(u * _walk(x, None)["sum"], lambda goal: _walk(x, goal)["k"]), x["mode"]))
+
 
-    def walk(goal: Column | None):
-        """The sum of all weights, or the first k at which their running sum reaches ``goal``."""
-        state = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("sum"), F.when(F.lit(False) if goal is None else F.lit(1.0) >= goal, mode).alias("k"))
+def _walk(x: Column, goal: Column | None) -> Column:
+    """The sum of all weights, or the first k at which their running sum reaches ``goal``: from the mode up, then down."""
+    ratio = lambda k: (x["marked"] - k) * (x["drawn"] - k) / ((k + 1) * (x["rest"] + k + 1))  # noqa: E731  p(k + 1) / p(k)
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("sum"), (none if goal is None else F.when(F.lit(1.0) >= goal, x["mode"])).alias("k"))
 
-        def step(a, i, sign):
-            p = a["p"] * (ratio(f(mode + i - 1)) if sign > 0 else 1 / ratio(f(mode - i)))
-            s = a["sum"] + p
-            k = F.lit(None).cast("long") if goal is None else F.coalesce(a["k"], F.when(s >= goal, mode + sign * i))
-            return F.struct(p.alias("p"), s.alias("sum"), k.alias("k"))
+    def step(a, i, sign):
+        p = a["p"] * (ratio((x["mode"] + i - 1).cast("double")) if sign > 0 else 1 / ratio((x["mode"] - i).cast("double")))
+        k = none if goal is None else F.coalesce(a["k"], F.when(a["sum"] + p >= goal, x["mode"] + sign * i))
+        return F.struct(p.alias("p"), (a["sum"] + p).alias("sum"), k.alias("k"))
 
-        steps = lambda n: F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<long>"))
-        one = F.aggregate(steps(up), state, lambda a, i: step(a, i, 1))
-        again = F.struct(F.lit(1.0).alias("p"), one["sum"].alias("sum"), one["k"].alias("k"))
-        return F.aggregate(steps(down), again, lambda a, i: step(a, i, -1))
+    steps = lambda n: F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<long>"))
+    one = F.aggregate(steps(x["up"]), start, lambda a, i: step(a, i, 1))
+    again = F.struct(F.lit(1.0).alias("p"), one["sum"].alias("sum"), one["k"].alias("k"))
+    return F.aggregate(steps(x["down"]), again, lambda a, i: step(a, i, -1))
 
-    return F.coalesce(walk(u * walk(None)["sum"])["k"], mode)
 
+def tree(quotas: DataFrame, shards: int) -> DataFrame:
+    """shard, source, n, start: how many draws of a source a shard gets, and the place of the first. ``quotas``: source, n.
 
-def tree(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """shard, source, n, start: how many draws of a source a shard gets, and the place of the first. ``quotas``: source, n."""
-    node = quotas.agg(F.sort_array(F.collect_list(F.struct("source", F.col("n").cast("long").alias("n")))).alias("q"), F.sum("n").cast("long").alias("total"))
+    A level of the tree has a row for each node, with the sources that it still has draws of.
+    """
+    node = quotas.agg(F.sort_array(F.collect_list(F.struct("source", F.col("n").cast("long").alias("n")))).alias("q"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"))
     node = node.select(F.lit(0).alias("first"), F.lit(shards).alias("shards"), "q", "total")
-    levels = (shards - 1).bit_length()
-    for depth in range(levels):
+    for depth in range((shards - 1).bit_length()):
         # a node's number of draws goes to its two halves as their shards do; the rest of a division to the left
         half = F.ceil(F.col("shards") / 2).cast("int")
         take = F.when(F.col("shards") > 1, F.ceil(F.col("total") * half / F.col("shards"))).otherwise(F.col("total")).cast("long")
         node = node.withColumn("half", half).withColumn("take", take)
         start = F.struct(F.col("total").alias("rest"), F.col("take").alias("want"), F.array().cast("array<long>").alias("out"))
         uniform = lambda s: (F.pmod(F.xxhash64(F.lit(SEED + 2 + depth), "first", s), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))  # noqa: E731, B023
-        got = F.aggregate("q", start, lambda a, x: F.struct((a["rest"] - x["n"]).alias("rest"), (a["want"] - F.get(_drawn(a, x, uniform), F.lit(0))).alias("want"), F.concat(a["out"], _drawn(a, x, uniform)).alias("out")), lambda a: a["out"])
-        node = node.withColumn("left", got)
+
+        def step(a, x):
+            n = hypergeometric(a["rest"], x["n"], a["want"], uniform(x["source"]))  # noqa: B023
+            return _bound(n, lambda n: F.struct((a["rest"] - x["n"]).alias("rest"), (a["want"] - n).alias("want"), F.array_append(a["out"], n).alias("out")))
+
+        node = node.withColumn("left", F.aggregate("q", start, step, lambda a: a["out"]))
         left = F.zip_with("q", "left", lambda x, n: F.struct(x["source"].alias("source"), n.alias("n")))
         right = F.zip_with("q", "left", lambda x, n: F.struct(x["source"].alias("source"), (x["n"] - n).alias("n")))
-        kids = F.array(F.struct(F.col("first"), F.col("half").alias("shards"), left.alias("q"), F.col("take").alias("total")), F.struct((F.col("first") + F.col("half")).alias("first"), (F.col("shards") - F.col("half")).alias("shards"), right.alias("q"), (F.col("total") - F.col("take")).alias("total")))
-        node = node.select(F.explode(kids).alias("k")).select("k.*").where("shards > 0")
-        node = cut(node, "mix-tree")
+        some = lambda q: F.filter(q, lambda x: x["n"] > 0)
+        kids = F.array(F.struct(F.col("first"), F.col("half").alias("shards"), some(left).alias("q"), F.col("take").alias("total")), F.struct((F.col("first") + F.col("half")).alias("first"), (F.col("shards") - F.col("half")).alias("shards"), some(right).alias("q"), (F.col("total") - F.col("take")).alias("total")))
+        node = cut(node.select(F.explode(kids).alias("k")).select("k.*").where("shards > 0"), "mix-tree")
     leaf = node.select(F.col("first").alias("shard"), F.explode("q").alias("x")).select("shard", "x.source", "x.n")
     before = W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return leaf.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def _drawn(a: Column, x: Column, uniform) -> Column:
-    """An array of one: how many of a source's draws go left."""
-    return F.array(hypergeometric(a["rest"], x["n"], a["want"], uniform(x["source"])))
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def plan(d: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(targets, draws with their shard) of ``sizes``."""
-    blocks = cut(d.groupBy("source", "block").agg(F.sum("size").alias("size")), "mix-blocks")
-    goal = cut(targets(blocks), "mix-targets")
-    drawn = cut(draws(blocks, goal), "mix-draws")
+def plan(d: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(targets, documents with their block, draws with their shard) of ``sizes``."""
+    goal = cut(targets(d), "mix-targets")
+    d = blocked(d, goal)
+    drawn = cut(draws(d.groupBy("source", "block").agg(F.sum("size").alias("size")), goal), "mix-draws")
+    if shards is None:
+        words = goal.agg(F.sum("source_size")).first()[0] or 0
+        shards = max(SHARDS, -(-words // SHARD_WORDS))
     parts = tree(drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n")), shards)
-    parts = parts.where("n > 0").select(F.col("source").alias("_source"), "shard", "start", "n")
-    placed = drawn.join(parts, drawn.source.eqNullSafe(parts._source) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n"))).drop("_source", "start", "n")
-    return goal, cut(placed, "mix-placed")
+    place = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))
+    parts = parts.select(F.col("source").alias("_source"), "shard", place.alias("_place"))
+    placed = drawn.join(parts, drawn.source.eqNullSafe(parts._source) & (drawn.place == parts._place)).drop("_source", "_place")
+    return goal, d, cut(placed, "mix-placed")
 
 
 def takes(d: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -157,32 +180,36 @@ def takes(d: DataFrame, drawn: DataFrame) -> DataFrame:
     return whole.unionByName(part).select("doc_id", "text_hash", "source", "epoch", "shard", F.col("words").cast("long").alias("words"))
 
 
-def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each time that a document is taken, dealt to ``shards`` partitions.
+def mixed(docs: DataFrame, shards: int | None = None) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each time that a document is taken, dealt by shard.
 
     The text of a cut document ends with its last word taken; n_chars follows if it is there. In each shard the order is
     that of a hash of draw and document.
     """
-    d = sizes(docs)
-    _, drawn = plan(d, shards)
-    t = takes(d, drawn).join(d.select("doc_id", "text_hash", "size").distinct(), ["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "epoch", "shard", "words", "size").distinct()
+    _, d, drawn = plan(sizes(docs), shards)
+    t = takes(d, drawn).groupBy("doc_id", "text_hash", "source").agg(F.sort_array(F.collect_set(F.struct("epoch", "shard", "words"))).alias("_draws"))  # REPEATS entries
+    t = t.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "source": "_source"})
     x = docs.withColumn("_text_hash", F.xxhash64("text"))
+    t = small(cut(t, "mix-takes"), 200_000)
     x = x.join(t, x.doc_id.eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")) & x.source.eqNullSafe(F.col("_source")))
-    cut_ = F.col("words") < F.col("size")
-    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
-    x = x.withColumn("text", F.when(cut_, some).otherwise(F.col("text")))
+    x = x.withColumn("_draw", F.explode("_draws"))
+    size = F.regexp_count("text", F.lit(WORD))
+    cut_ = F.col("_draw.words") < size
+    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_draw.words").cast("int")), "")
+    x = x.withColumn("_cut", cut_).withColumn("text", F.when(F.col("_cut"), some).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.when(cut_, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    x = x.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(SEED + 10), "shard", "epoch", "_hash", "doc_id"))
+        x = x.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    x = x.repartition("_draw.shard").sortWithinPartitions("_draw.shard", F.xxhash64(F.lit(SEED + 10), "_draw.shard", "_draw.epoch", "_hash", "doc_id"))
     return x.select(docs.columns)
 
 
 def op3_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sizes(table(spark, sf_dir, "documents"))
-    goal, drawn = plan(d)
-    got = takes(d, drawn).groupBy("doc_id", "text_hash", "source").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"))
+    goal, d, drawn = plan(sizes(table(spark, sf_dir, "documents")))
+    got = takes(d, drawn).groupBy("doc_id", "text_hash", "source").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"), F.count_distinct("epoch").alias("epochs"), F.count(F.lit(1)).alias("n"))
+    # repeated rows are alike: each has its share of what all of them take
+    got = got.withColumn("taken", F.floor(F.col("taken") * F.col("epochs") / F.col("n"))).drop("epochs", "n")
     got = got.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "source": "_source"})
     g = goal.select(F.col("source").alias("_goal"), "source_size", "target")
-    out = d.join(F.broadcast(g) if g.limit(100_001).count() <= 100_000 else g, d.source.eqNullSafe(g._goal), "left")
+    out = d.join(small(g, 100_000), d.source.eqNullSafe(g._goal), "left")
     out = out.join(got, out.doc_id.eqNullSafe(F.col("_id")) & (out.text_hash == F.col("_hash")) & out.source.eqNullSafe(F.col("_source")), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "shards")
