@@ -27,6 +27,8 @@ DENSE = 0.5
 _OUT = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORDS = rf"[^{_OUT}]+"
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
+#: A word of each phrase without which a text, looked at letter by letter, cannot hold it.
+HINTS = {"mit": "license", "apache-2": "apache", "cc-by-nc": "cc"}
 
 #: label, kind of text, text. Public notices.
 TEMPLATES = (
@@ -109,7 +111,7 @@ def _base(n_words: Column) -> dict[str, Column]:
         pattern = F.lit(rf"(?i)(?<![^{_OUT}])" + rf"[{_OUT}]+".join(words) + rf"(?![^{_OUT}])")
         parts = F.split(_text(), pattern, -1)
         n = F.regexp_count(_text(), pattern)
-        out[label] = F.when(n > 0, F.struct(n.alias("n"), F.regexp_count(F.element_at(parts, 1), F.lit(WORDS)).alias("first"), (n_words - len(words) - F.regexp_count(F.element_at(parts, -1), F.lit(WORDS))).alias("last")))
+        out[label] = F.when(F.lower(_text()).contains(HINTS[label]) & (n > 0), F.struct(n.alias("n"), F.regexp_count(F.element_at(parts, 1), F.lit(WORDS)).alias("first"), (n_words - len(words) - F.regexp_count(F.element_at(parts, -1), F.lit(WORDS))).alias("last")))
     return out
 
 
