@@ -249,16 +249,17 @@ def _short_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _star_pairs(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Pairs of each row with the leaders (value, leader, n_leader) of its list."""
-    x = rows.join(small(leaders), "value").where((F.col("id") != F.col("leader")) & _close(F.col("n"), F.col("n_leader")))
-    return x.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    """Pairs of each row with the leaders of its lists. A row's lists mostly have the same leaders, so they are united first."""
+    x = rows.join(small(leaders), "value").groupBy("id", "n").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))  # K lists at most
+    x = x.select("id", "n", F.explode("leaders").alias("l")).where((F.col("id") != F.col("l.leader")) & _close(F.col("n"), F.col("l.n_leader")))
+    return x.select(F.least("id", "l.leader").alias("a"), F.greatest("id", "l.leader").alias("b")).distinct()
 
 
 def _leaders(rows: DataFrame, order: list) -> DataFrame:
-    """(value, leader, n_leader): of each list the row that comes first in each order."""
+    """(value, leaders): of each list the rows that come first in each order, as an array of (leader, n_leader)."""
     first = rows.groupBy("value").agg(*[F.min(F.struct(o, "id", "n")).alias(f"l{i}") for i, o in enumerate(order)])
     many = F.array(*[F.struct(F.col(f"l{i}.id").alias("leader"), F.col(f"l{i}.n").alias("n_leader")) for i in range(len(order))])
-    return first.select("value", F.explode(F.array_distinct(many)).alias("l")).select("value", "l.*")
+    return first.select("value", F.array_sort(F.array_distinct(many)).alias("leaders"))
 
 
 def _common(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
