@@ -37,6 +37,8 @@ K = 64
 HALF = 32
 SHORT = 64
 LEADERS = 4
+#: Edges that a task joins at a time, 16 bytes each.
+EDGES = 1_000_000
 #: Values of the sets in a block, 8 bytes each; a set with more is alone.
 BLOCK = 1 << 17
 
@@ -214,16 +216,33 @@ def stars(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _local_stars(edges: DataFrame) -> DataFrame:
+    """Edges of the same components, fewer of them: each task joins what it has of them, EDGES at a time."""
+
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in stars(*(c.to_numpy() for c in batch.columns))], names=["a", "b"])
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            n += batch.num_rows
+            if n > EDGES:
+                held = [stars(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                n = len(held[0][0])
+                if 2 * n > EDGES:  # these no longer become fewer
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held.pop()], names=["a", "b"])
+                    n = 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in stars(*(np.concatenate(c) for c in zip(*held, strict=True)))], names=["a", "b"])
 
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of all ids that are not the smallest of their component, from edges (a, b)."""
-    now = cut(_local_stars(edges).where("a <> b").distinct(), "near-stars")
+    now = cut(_local_stars(edges), "near-stars")
+    if now.limit(EDGES + 1).count() <= EDGES:  # one task holds them all
+        done = cut(_local_stars(now.repartition(1)), "near-stars")
+        return done.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    now = now.where("a <> b").distinct()
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
