@@ -37,6 +37,8 @@ K = 64
 HALF = 32
 SHORT = 64
 LEADERS = 4
+#: Bytes of text that a task goes through at a time.
+PIECE = 1 << 20
 #: Edges that a task joins at a time, 16 bytes each.
 EDGES = 1_000_000
 #: Values of the sets in a block, 8 bytes each; a set with more is alone.
@@ -62,18 +64,19 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int):
 def sketches(docs: DataFrame, width: int, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, text_hash, n, d1 and d2 (a digest of the set), sketch (K smallest values, as bytes)."""
 
+    signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+
     def run(batches):
         for batch in batches:
             raw, at = buffer(batch.column(1))
-            n, d1, d2, kept = [], [], [], []
-            for i, j in pieces(at):
+            for i, j in pieces(at, PIECE):
+                n, d1, d2, kept = [], [], [], []
                 for s in shingle_sets(raw, at[i : j + 1], width):
                     n.append(len(s))
                     d1.append(int((s * np.uint64(0xD1342543DE82EF95)).sum(dtype=np.uint64)) if len(s) else 0)
                     d2.append(int(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)) if len(s) else 0)
                     kept.append(s[:K].tobytes())
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), signed(d1), signed(d2), pa.array(kept, pa.binary())], names=["doc_id", "text_hash", "n", "d1", "d2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(n, pa.int64()), signed(d1), signed(d2), pa.array(kept, pa.binary())], names=["doc_id", "text_hash", "n", "d1", "d2", "sketch"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, d1 long, d2 long, sketch binary")
 
@@ -82,8 +85,9 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             raw, at = buffer(batch.column(1))
-            kept = [s.tobytes() for i, j in pieces(at) for s in shingle_sets(raw, at[i : j + 1], width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["id", "set"])
+            for i, j in pieces(at, PIECE):
+                kept = [s.tobytes() for s in shingle_sets(raw, at[i : j + 1], width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(kept, pa.binary())], names=["id", "set"])
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, set binary")
 
@@ -140,8 +144,7 @@ def _both(pairs: DataFrame, held: DataFrame, column: str, test) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(k)] for k in (2, 3))
-            ok = pa.array([test(p, q) for p, q in zip(x, y, strict=True)], pa.bool_())
+            ok = pa.array([test(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) for p, q in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
