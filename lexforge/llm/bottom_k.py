@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer, cut, mix, pieces, small, table, word_hashes
+from .common import buffer, cut, mix, pieces, small, table, tidy, word_hashes
 
 K = 64
 HALF = 32
@@ -78,7 +78,7 @@ def sketches(docs: DataFrame, width: int, text_column: str = "text", id_column:
                     kept.append(s[:K].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(n, pa.int64()), signed(d1), signed(d2), pa.array(kept, pa.binary())], names=["doc_id", "text_hash", "n", "d1", "d2", "sketch"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, d1 long, d2 long, sketch binary")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash")).mapInArrow(tidy(run), "doc_id long, text_hash long, n long, d1 long, d2 long, sketch binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -89,7 +89,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 kept = [s.tobytes() for s in shingle_sets(raw, at[i : j + 1], width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(kept, pa.binary())], names=["id", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, set binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(tidy(run), "id long, set binary")
 
 
 # ---- lists -------------------------------------------------------------------------------------------
@@ -106,7 +106,7 @@ def _values(reps: DataFrame) -> DataFrame:
                 at = pa.array(np.repeat(np.arange(len(v)), [len(x) for x in v]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(v))], names=["id", "n", "value"])
 
-    return reps.select("id", "n", "sketch").mapInArrow(run, "id long, n long, value long")
+    return reps.select("id", "n", "sketch").mapInArrow(tidy(run), "id long, n long, value long")
 
 
 def lists(reps: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def _both(pairs: DataFrame, held: DataFrame, column: str, test) -> DataFrame:
             ok = pa.array([test(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) for p, q in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -236,7 +236,7 @@ def _local_stars(edges: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in stars(*(np.concatenate(c) for c in zip(*held, strict=True)))], names=["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -77,6 +78,24 @@ def crc_mod(doc_id, n: int):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def tidy(run):
+    """``run``, a function of Arrow batches, that gives its worker's free memory back to the system when it ends."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return go
+
+
 # ---- vectorised word hashing for the Arrow operators -------------------------------------------------
 
 _rng = np.random.default_rng(20240229)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer, crc_mod, cut, mix, pieces, scratch_path, table, word_hashes
+from .common import buffer, crc_mod, cut, mix, pieces, scratch_path, table, tidy, word_hashes
 
 #: Buckets of the model. A bucket is one task's work and memory: at 2**8, some 16 MB for each GB of input.
 BUCKETS = 256
@@ -109,7 +109,7 @@ def _runs(train: DataFrame, n_buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return train.select("text").mapInArrow(run, "bucket int, pairs binary")
+    return train.select("text").mapInArrow(tidy(run), "bucket int, pairs binary")
 
 
 def encode(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
@@ -161,7 +161,7 @@ def _second_words(pairs: DataFrame, n_buckets: int) -> DataFrame:
                 keep = [b for b in range(n_buckets) if out[b]]
                 yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([out[b] for b in keep], pa.binary())], names=["bucket", "words"])
 
-    return pairs.select("pairs").mapInArrow(run, "bucket int, words binary")
+    return pairs.select("pairs").mapInArrow(tidy(run), "bucket int, words binary")
 
 
 def _words(parts: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def train(docs: DataFrame, n_buckets: int = BUCKETS) -> tuple[dict, str]:
                 n, taken = n + int(k.sum()), taken + float(np.minimum(_discount(k, d1), k).sum())
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([taken])], names=["n", "taken"])
 
-    s = kinds.mapInArrow(sums, "n long, taken double").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken")).first()
+    s = kinds.mapInArrow(tidy(sums), "n long, taken double").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken")).first()
     n, v = s["n"] or 0, b["n"] or 0
     totals = {"tokens": a["n"] or 0, "words": v, "pairs": n, "unknown": (s["taken"] or 0.0) / n / (v + 1) if n else 1.0, "buckets": n_buckets}
     here = _local(folder)
@@ -291,7 +291,7 @@ def train(docs: DataFrame, n_buckets: int = BUCKETS) -> tuple[dict, str]:
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(files), pa.int32()), pa.array(list(files)), pa.array([b"" if here is not None else x for x in files.values()], pa.binary())], names=["bucket", "name", "body"])
 
     both = pairs.select("bucket", "pairs").join(words.select("bucket", "words"), "bucket", "full").select("bucket", "pairs", "words")
-    made = both.mapInArrow(store, "bucket int, name string, body binary")
+    made = both.mapInArrow(tidy(store), "bucket int, name string, body binary")
     if here is not None:
         made.count()
         return totals, here
@@ -354,7 +354,7 @@ def scores(docs: DataFrame, totals: dict, folder: str, keep: list[str] | None =
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, out)], names=[*batch.schema.names[1:], "n_tokens", "n_known", "base_score", "score"])
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{types}, n_tokens long, n_known long, base_score double, score double")
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidy(run), f"{types}, n_tokens long, n_known long, base_score double, score double")
 
 
 def _groups(b: np.ndarray, order: np.ndarray, n: int):

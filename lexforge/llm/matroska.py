@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 
 RATE = 8000
 FRAME = 512  # bytes; 64 ms at 8 bits and 8000 Hz
@@ -295,7 +295,7 @@ def packet_table(df: DataFrame, id_column: str, media_column: str) -> DataFrame:
                 cues = [cue.get(m.clusters[p[1]]) if p[1] is not None else None for p in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), batch.schema.field(0).type), *columns, pa.array(cues, pa.int64()), pa.array([m.status] * len(rows))], names=[batch.schema.names[0], *kinds.names, "cue_offset", "status"])
 
-    return df.select(id_column, media_column).mapInArrow(run, f"`{id_column}` {id_type}, {PACKETS}")
+    return df.select(id_column, media_column).mapInArrow(tidy(run), f"`{id_column}` {id_type}, {PACKETS}")
 
 
 def padded(text: bytes) -> bytes:
@@ -313,7 +313,7 @@ def to_matroska(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
                 media = [mux(padded((t.as_py() or "").encode())) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=[batch.schema.names[0], "media"])
 
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {id_type}, media binary")
+    return df.select(id_column, text_column).mapInArrow(tidy(run), f"`{id_column}` {id_type}, media binary")
 
 
 def digest(text: str | None) -> tuple:
@@ -343,7 +343,7 @@ def media_digests(df: DataFrame) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, tidy
 
 LENGTH = 4096
 END = 1
@@ -128,7 +128,7 @@ def tokenised(docs: DataFrame, path: str, keep: list[str], length: int = LENGTH,
                 columns = [c.take(at) for c in part.columns[1:]] + [pa.array(p), pa.array(p.astype(np.int64) * length), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_ids, names=[*batch.schema.names[1:], "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidy(run), f"{kinds}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray, int]:

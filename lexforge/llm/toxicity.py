@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, buffer, crc_mod, small, table
+from .common import _LOWER, buffer, crc_mod, small, table, tidy
 from .common import pieces as _pieces
 
 #: Lengths of n-grams in bytes, buckets of their hashes, features of the model, rows fitted per class.
@@ -95,7 +95,7 @@ def _counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.full(len(some) + 1, k, np.int32)), pa.array(np.append(seen[k][some], n[k]))], names=["bucket", "toxic", "n"])
 
     # bucket -1 holds the number of documents; at most 2 * (2^BITS + 1) rows reach the driver
-    got = train.select("text", "toxic").mapInArrow(run, "bucket long, toxic int, n long").groupBy("bucket", "toxic").agg(F.sum("n").alias("n")).toArrow()
+    got = train.select("text", "toxic").mapInArrow(tidy(run), "bucket long, toxic int, n long").groupBy("bucket", "toxic").agg(F.sum("n").alias("n")).toArrow()
     bucket, toxic, n = (got[c].to_numpy() for c in ("bucket", "toxic", "n"))
     docs, seen = np.zeros(2, np.int64), np.zeros((2, 1 << BITS), np.int64)
     docs[toxic[bucket < 0]] = n[bucket < 0]
@@ -123,7 +123,7 @@ def _examples(train: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, list[np
     ids = train.select("doc_id", "toxic", order.alias("o"))
     chosen = [ids.where(F.col("toxic") == k).orderBy("o").limit(SAMPLE) for k in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic").distinct()
-    rows = train.join(F.broadcast(ids), ["doc_id", "toxic"]).select("text", "toxic").mapInArrow(run, "toxic int, buckets array<long>").toArrow()
+    rows = train.join(F.broadcast(ids), ["doc_id", "toxic"]).select("text", "toxic").mapInArrow(tidy(run), "toxic int, buckets array<long>").toArrow()
     y = rows["toxic"].to_numpy()
     lists = [np.asarray(x, np.int64) for x in rows["buckets"].to_pylist()]
     at = sorted(range(len(y)), key=lambda i: (y[i], lists[i].tobytes()))  # the fit does not depend on the order of rows
@@ -193,7 +193,7 @@ def scores(docs: DataFrame, weights: np.ndarray, constant: float, keep: list[str
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=[*batch.schema.names[1:], "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidy(run), f"{kinds}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
