@@ -38,8 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import buffer, crc_mod, cut, mix, pieces, scratch_path, table, tidy, word_hashes
 
-#: Buckets of the model. A bucket is one task's work and memory: at 2**8, some 16 MB for each GB of input.
+#: Least buckets of the model, and bytes of text to a bucket beyond that: a bucket is one task's work and memory.
 BUCKETS = 256
+BUCKET_BYTES = 1 << 26
+#: Mapped files that a worker keeps open.
+OPEN = 4096
 #: Tokens that a task reduces at a time.
 RUN = 3_000_000
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -86,7 +89,7 @@ def _runs(train: DataFrame, n_buckets: int) -> DataFrame:
         def flush():
             v, w = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            b = bucket_of(v, n_buckets).astype(np.uint16)
+            b = bucket_of(v, n_buckets).astype(np.uint32)
             o = np.argsort(b, kind="stable")
             cuts = np.searchsorted(b[o], np.arange(n_buckets + 1))
             v, w = v[o], w[o]
@@ -203,6 +206,8 @@ class Model:
 
     def array(self, name: str, bucket: int) -> np.ndarray:
         if (name, bucket) not in self.files:
+            if len(self.files) >= OPEN:
+                self.files.clear()
             path = f"{self.folder}/{name}/{bucket}"
             there = os.path.exists(path) and os.path.getsize(path)
             self.files[name, bucket] = np.memmap(path, np.uint8, "r") if there else np.zeros(0, np.uint8)
@@ -246,8 +251,11 @@ def _local(path: str) -> str | None:
     return urllib.parse.unquote(u.path) if u.scheme in ("", "file") else None
 
 
-def train(docs: DataFrame, n_buckets: int = BUCKETS) -> tuple[dict, str]:
+def train(docs: DataFrame, n_buckets: int | None = None) -> tuple[dict, str]:
     """Counts the rows of ``docs`` and stores the model; returns its totals and its folder in the shared one."""
+    if n_buckets is None:  # BUCKETS times a power of two
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        n_buckets = BUCKETS << max(0, -(-size // (BUCKETS * BUCKET_BYTES)) - 1).bit_length()
     spark = docs.sparkSession
     folder = scratch_path(spark, "kn")
     pairs = cut(_merge(_runs(docs, n_buckets)), "kn-pairs")

@@ -8,11 +8,14 @@ from .kneser_ney import op10_kneser_ney
 from .licenses import op2_diagonals
 from .matroska import op1_matroska
 from .mixing import op3_splitting_tree
+from .oracles import ORACLES
 from .packing import op9_packing
 from .quality import op4_log_ratio
 from .secrets import op5_ownership
 from .toxicity import op7_toxicity
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_matroska": op1_matroska,
     "op2_diagonals": op2_diagonals,
@@ -25,4 +28,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_kneser_ney": op10_kneser_ney,
 }
-ORACLES: dict[str, str] = {}
+
