@@ -29,7 +29,7 @@ SHINGLE = 5
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the threshold; the classifier learns from the labels of those that are in ``docs``."""
     weights, constant = fit(docs, table(spark, sf_dir, "labels"))
-    return scores(docs, weights, constant, docs.columns).where(F.col("score") < THRESHOLD).select(docs.columns)
+    return scores(docs, weights, constant, docs.columns, "_toxicity").where(F.col("_toxicity") < THRESHOLD).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,8 +173,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.02, steps: int = 400)
     return w.astype(np.float32), float(c)
 
 
-def scores(docs: DataFrame, weights: np.ndarray, constant: float, keep: list[str] | None = None) -> DataFrame:
-    """``score`` of every row, beside the columns ``keep`` (doc_id if not given)."""
+def scores(docs: DataFrame, weights: np.ndarray, constant: float, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The score of every row, in a column ``name``, beside the columns ``keep`` (doc_id if not given)."""
     spark, keep = docs.sparkSession, keep or ["doc_id"]
     some = np.flatnonzero(weights)
     model = spark.sparkContext.broadcast((some.astype(np.int32), weights[some], constant))  # FEATURES entries at most
@@ -190,10 +190,10 @@ def scores(docs: DataFrame, weights: np.ndarray, constant: float, keep: list[str
             for i, j in pieces(at):
                 text, bucket = hits(raw, at[i : j + 1], wanted)
                 z[i:j] += np.bincount(text, w[bucket], j - i)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=[*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=[*batch.schema.names[1:], name])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidy(run), f"{kinds}, score double")
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidy(run), f"{kinds}, `{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
