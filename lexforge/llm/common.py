@@ -78,10 +78,20 @@ def crc_mod(doc_id, n: int):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def tidy(run):
-    """``run``, a function of Arrow batches, that gives its worker's free memory back to the system when it ends."""
+#: What operators keep in a worker between their tasks; tasks of others drop it.
+kept: dict[str, dict] = {}
+
+
+def tidy(run, keep: str = ""):
+    """``run``, a function of Arrow batches, that gives its worker's free memory back to the system when it ends.
+
+    ``keep`` names the one entry of ``kept`` that it uses; it drops what other operators left in the worker.
+    """
 
     def go(batches):
+        for name in kept:
+            if name != keep:
+                kept[name].clear()
         try:
             yield from run(batches)
         finally:

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, tidy
+from .common import cut, kept, table, tidy
 
 LENGTH = 4096
 END = 1
 #: Pieces in a group, about. A group's state and rows are some 60 bytes a piece.
 GROUP = 20_000
 #: Distinct words whose ids a worker keeps; beyond it forgets those that came last, which changes no result.
-WORDS = 1_600_000
+WORDS = 1_000_000
 
 
 def vocabulary() -> str:
@@ -90,7 +90,7 @@ class Words(dict):
         return [b"".join(map(get, words)) for words in split]
 
 
-_words: dict[str, Words] = {}
+_words: dict[str, Words] = kept.setdefault("packing", {})
 
 
 def words_of(path: str) -> Words:
@@ -113,7 +113,7 @@ def tokenised(docs: DataFrame, path: str, keep: list[str], length: int = LENGTH,
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                row, piece, size, crc, kept = [], [], [], [], []
+                row, piece, size, crc, bodies = [], [], [], [], []
                 for i, ids in enumerate(words.ids([(t or "").encode() for t in part.column(0).to_pylist()])):
                     ids += end
                     for k in range(0, len(ids), 4 * length):
@@ -123,13 +123,13 @@ def tokenised(docs: DataFrame, path: str, keep: list[str], length: int = LENGTH,
                         size.append(len(some) // 4)
                         crc.append(zlib.crc32(some))
                         if with_ids:
-                            kept.append(some)
+                            bodies.append(some)
                 at = pa.array(row, pa.int32())
                 p = np.array(piece, np.int32)
                 columns = [c.take(at) for c in part.columns[1:]] + [pa.array(p), pa.array(p.astype(np.int64) * length), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_ids, names=[*batch.schema.names[1:], "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(bodies, pa.binary())] * with_ids, names=[*batch.schema.names[1:], "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidy(run), f"{kinds}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidy(run, "packing"), f"{kinds}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray, int]:
