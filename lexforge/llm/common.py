@@ -82,6 +82,13 @@ def crc_mod(doc_id, n: int):
 kept: dict[str, dict] = {}
 
 
+def forget(but: str) -> None:
+    """Drops what is kept, but for one entry. A function of the module, so that it meets the worker's own ``kept``."""
+    for name in kept:
+        if name != but:
+            kept[name].clear()
+
+
 def tidy(run, keep: str = ""):
     """``run``, a function of Arrow batches, that gives its worker's free memory back to the system when it ends.
 
@@ -89,9 +96,7 @@ def tidy(run, keep: str = ""):
     """
 
     def go(batches):
-        for name in kept:
-            if name != keep:
-                kept[name].clear()
+        forget(keep)
         try:
             yield from run(batches)
         finally:
