@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express.
 
-Not here: op1 (a container format), op3, op4 and op10 (hashes that DuckDB has not), op2 (its joins over all word
-k-grams are too slow there), op6, op7 and op9 (graphs, a fitted model, a tokenizer). ``tests/llm`` holds those against
+Not here: op1 (a container format), op3, op4 and op10 (hashes that DuckDB has not), op2 (not written: its diagonals
+and runs of spans are long in SQL), op6, op7 and op9 (graphs, a fitted model, a tokenizer). ``tests/llm`` holds those against
 brute force.
 """
 
