@@ -3,7 +3,8 @@
 Candidates come from the three base patterns and from further ones (``EXTRA``). The digest of a candidate's value is counted
 over the whole corpus by distinct owners and repositories: first distinct (digest, owner, repository), so that a value
 which a third of all rows hold is aggregated before it moves, then sums. A value of more than ``MAX_OWNERS`` owners is
-an example that is widely copied; others look live. Base spans are always reported; further ones if live.
+an example that is widely copied; others look live. Base spans are always reported; further ones if live. A private key
+is matched with its body (``KEY``) and counted by it: the header, which all keys share, says nothing of the owner.
 
 Everything is DataFrame functions. A text's matches and what stands between them, both by one pattern, give the positions.
 
@@ -13,6 +14,8 @@ text have the same result each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +37,28 @@ EXTRA = (
     ("key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 27),
     ("mixed", r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[A-Z0-9]*[a-z])(?=[a-z0-9]*[A-Z])[A-Za-z0-9]{24,}", 0, 24),
 )
+#: Where a private key has a body, it is the candidate: from BEGIN through END or, without an END before the next BEGIN, to the end of
+#: the base64 lines. Loops over groups are possessive: Java runs those without recursion.
+_BEGIN, _END = (f"-----{x} [A-Z ]{{0,30}}PRIVATE KEY-----" for x in ("BEGIN", "END"))
+_SEPARATORS = r"""[\s\\"'+,;>#|*-]*+"""
+_LINES = rf"""(?:{_SEPARATORS}(?:Proc-Type|DEK-Info|Comment|Version):[^\n\\"]*+(?:\\[nr])*+)*+(?:{_SEPARATORS}[A-Za-z0-9+/]{{24,}}+={{0,2}})*+(?:{_SEPARATORS}[A-Za-z0-9+/]++={{1,2}})?+"""
+KEY = rf"{_BEGIN}(?:(?>(?s:.*?)(?=-----(?:END|BEGIN) )){_END}|{_LINES})"
 #: Cheap patterns that every match of a further one contains.
 HINT = r"gh[pousr]_|xox[abprs]-|AIza|[sr]k_(?:live|test)_|eyJ|-----BEGIN |[A-Za-z0-9]{24}"
 
 
-def matches(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, end, value), code points, of the matches whose value has at least ``least`` characters."""
+def key_body(match: Column) -> Column:
+    """The base64 characters of a private key without its BEGIN and END, however its lines are broken; a bare header is itself."""
+    body = F.regexp_replace(match, rf"""{_BEGIN}|{_END}|\\[nrt]|["']\s*\+|[^A-Za-z0-9+/=]""", "")
+    return F.when(body == "", match).otherwise(body)
+
+
+def matches(text: Column, pattern: str, group: int, least: int, value: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (start, end, value), code points, of the matches whose value (of the group, or made by ``value``) has at least ``least`` characters."""
     p = F.lit(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, p, F.lit(group))
+    values = F.transform(values, value) if value else values
     gaps = F.split(text, pattern, -1)
     rows = F.arrays_zip(F.transform(found, lambda m: F.length(m)).alias("n"), F.transform(gaps, lambda g: F.length(g)).alias("gap"), values.alias("value"))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
@@ -57,7 +73,8 @@ def candidates(docs: DataFrame, owner: str, repository: list[str]) -> DataFrame:
     d = d.select("*", F.col("text").rlike(HINT).alias("hint"))
     keep = ["doc_id", "text_hash", "owner", "repository"]
     base = [matches(F.col("text"), p, g, n).alias(k) for k, p, g, n in BASE]
-    more = [F.when(F.col("hint"), matches(F.col("text"), p, g, n)).alias(k) for k, p, g, n in EXTRA]
+    further = {k: matches(F.col("text"), p, g, n) for k, p, g, n in EXTRA} | {"key": matches(F.col("text"), KEY, 0, 1, key_body)}
+    more = [F.when(F.col("hint"), further[k]).alias(k) for k, *_ in EXTRA]
     return cut(d.select(*keep, *base, *more), "secrets")
 
 
