@@ -44,15 +44,20 @@ def bands(sigs: DataFrame, keep: list[str], n: int = PERMUTATIONS, rows: int = R
 
 
 def near_copies(docs: DataFrame, by: list[str] | None = None, width: int = SHINGLE) -> DataFrame:
-    """doc_id, the columns ``by`` (the scope; none: all documents) and is_rejected of every document.
+    """doc_id, the columns ``by`` (the scope; none: all documents; nulls are one scope) and is_rejected of every document.
 
     Bands that one document has are dropped before the join; of a band that many have, only its smallest id is joined.
     """
     by = by or []
+    own = {c: f"_{c}" for c in by}
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in own.items()]
     b = bands(signatures(docs, ["doc_id", *by], width), ["doc_id", *by])
     seen = b.groupBy("band", "key", *by).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = b.join(seen, ["band", "key", *by]).where("doc_id > first").select("doc_id", *by).distinct().withColumn("is_rejected", F.lit(True))
-    return docs.select("doc_id", *by).join(later, ["doc_id", *by], "left").withColumn("is_rejected", F.coalesce("is_rejected", F.lit(False)))
+    seen = seen.withColumnsRenamed({"band": "_band", "key": "_key", **own})
+    later = b.join(seen, [F.col("band") == F.col("_band"), F.col("key") == F.col("_key"), *same]).where("doc_id > first").select("doc_id", *by).distinct()
+    later = later.withColumnsRenamed({"doc_id": "_doc_id", **own}).withColumn("is_rejected", F.lit(True))
+    out = docs.select("doc_id", *by).join(later, [F.col("doc_id") == F.col("_doc_id"), *same], "left")
+    return out.select("doc_id", *by, F.coalesce("is_rejected", F.lit(False)).alias("is_rejected"))
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
