@@ -14,21 +14,23 @@ itself, as are equal pieces; without rows there are no sequences. Reruns agree.
 from __future__ import annotations
 
 import zlib
-from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, kept, table, tidy
+from .common import buffer, cut, kept, mix, pieces, table, tidy
 
 LENGTH = 4096
 END = 1
 #: Pieces in a group, about. A group's state and rows are some 60 bytes a piece.
 GROUP = 20_000
-#: Distinct words whose ids a worker keeps; beyond it forgets those that came last, which changes no result.
-WORDS = 1_000_000
+#: Distinct parts of words whose ids a worker keeps, some 45 bytes each; beyond it forgets those that came last, which changes no result.
+PARTS = 1_000_000
+#: Most bytes of a part that the table takes, and bytes of text that a worker goes through at a time.
+WIDE = 24
+CHUNK = 1 << 18
 
 
 def vocabulary() -> str:
@@ -37,57 +39,240 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Words(dict):
-    """Ids of the words of a text, as little-endian 32-bit integers.
+class Words:
+    """Token ids of many texts at a time.
 
-    Words are runs without ASCII white space, lower-cased in ASCII. The vocabulary's pre-tokenizer cuts at white
-    space and its normalizer lower-cases, so the ids of a text are those of its words in a row.
+    The vocabulary lower-cases, cuts at white space, and in between into runs of letters, single digits and runs of other
+    characters, each tokenised for itself. Where a word (a run without ASCII white space) has only ASCII and letters up to U+00FF, its
+    parts are cut here, by a table of byte classes, and the ids of each distinct part are learnt once. A part of at most ``WIDE`` bytes
+    is its own key (three 64-bit numbers, so that a match is exact), in an open hash table of NumPy arrays: some 45 bytes a part, of
+    which at most ``PARTS`` are kept. All other words, and those that hold a special token or an apostrophe, go whole and as they
+    are to the tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.bare = Tokenizer(self.tokenizer.model)  # for words that are lower-case letters already
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def learn(self, new: set[bytes]) -> None:
-        """Adds the ids of new words. One of letters alone is one piece, so its last id alone ends a word; many go in one
-        call. A full stop or comma after a letter is a piece of its own."""
-        tails = {w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-        # of the new words' parts some may be known; looking up each is far less than going through all that are known
-        words = (new - tails).union(filterfalse(self.__contains__, {*(w[:-1] for w in tails), *(w[-1:] for w in tails)}))
-        letters, rest = [], []
-        for w in words:
-            t = w.decode()
-            (letters if t.isalpha() and len(t) < 40 else rest).append((w, t))
-        for i in range(0, len(letters), 1024):
-            some = letters[i : i + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in some])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.last[ids]) + 1
-            if len(cuts) == len(some):
-                self.update(zip([w for w, _ in some], [x.tobytes() for x in np.split(ids, cuts[:-1])], strict=True))
-            else:  # letters here that the vocabulary's Unicode tables do not count as such
-                rest += some
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-            self.update(zip([w for w, _ in some], [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
-        self.update([(w, self[w[:-1]] + self[w[-1:]]) for w in tails])
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
-        if len(self) > WORDS:  # the first that came are the most frequent
-            for w in list(islice(self, WORDS // 2, None)):
-                del self[w]
-        have, new = self.__contains__, set()
-        for words in split:
-            new.update(filterfalse(have, words))
-        self.learn(new)
-        get = self.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.kind = np.dtype(np.uint16 if len(self.last) <= 1 << 16 else np.uint32)
+        self.whole: dict[bytes, bytes] = {}
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.n = self.used = 0
+        self.keys, self.at, self.size, self.arena = np.zeros((1 << 15, 3), np.uint64), np.zeros(1 << 15, np.uint32), np.zeros(1 << 15, np.uint16), np.zeros(1 << 17, self.kind)
+
+    # ---- the table of parts
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return mix(keys[:, 0] + mix(keys[:, 1] + mix(keys[:, 2])))
+
+    def _find(self, keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The number of each part, or -1."""
+        mask = len(self.slots) - 1
+        slot = (h & np.uint64(mask)).astype(np.int64)
+        out = self.slots[slot]
+        left = np.flatnonzero((out >= 0) & (self.keys[out] != keys).any(axis=1))
+        while len(left):
+            slot[left] = (slot[left] + 1) & mask
+            found = self.slots[slot[left]]
+            out[left] = found
+            left = left[(found >= 0) & (self.keys[found] != keys[left]).any(axis=1)]
+        return out
+
+    def _place(self, first: int) -> None:
+        """Enters the parts from ``first`` on into the slots."""
+        mask = len(self.slots) - 1
+        left = np.arange(first, self.n, dtype=np.int32)
+        slot = (self._hash(self.keys[first : self.n]) & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]  # of several for one slot the last one stays
+            there = self.slots[slot] == left
+            left, slot = left[~there], (slot[~there] + 1) & mask
+
+    def _room(self, parts: int, ids: int) -> None:
+        for name, used, more in (("keys", self.n, parts), ("at", self.n, parts), ("size", self.n, parts), ("arena", self.used, ids)):
+            x = getattr(self, name)
+            if used + more > len(x):
+                new = np.zeros((max(used + more, len(x) * 3 // 2), *x.shape[1:]), x.dtype)
+                new[:used] = x[:used]
+                setattr(self, name, new)
+        if 2 * (self.n + parts) > len(self.slots):
+            self.slots = np.full(1 << (2 * (self.n + parts) - 1).bit_length(), -1, np.int32)
+            self._place(0)
+
+    def _learn(self, keys: np.ndarray, h: np.ndarray) -> None:
+        """Adds parts that are new. Of parts with equal hashes one is added; the caller looks again."""
+        keys = keys[np.unique(h, return_index=True)[1]]
+        if self.n + len(keys) > PARTS:  # forgets those that came last: the first that came are the most frequent; no result changes
+            self.n = min(self.n, PARTS // 2)
+            self.used = int(self.at[self.n - 1]) + int(self.size[self.n - 1]) if self.n else 0
+            self.slots[:] = -1
+            self._place(0)
+        words = np.ascontiguousarray(keys).view(f"S{WIDE}").ravel().tolist()
+        letters = np.array([w[0] >= 97 and w[0] not in b"{|}~\x7f" for w in words])
+        keys = np.concatenate([keys[letters], keys[~letters]])
+        plain = [w.decode() for w, ok in zip(words, letters, strict=True) if ok]
+        ids, size = [], []
+        for i in range(0, len(plain), 1024):
+            some = np.array(self.bare.encode_batch_fast([" ".join(plain[i : i + 1024])], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.last[some]) + 1
+            if len(ends) != len(plain[i : i + 1024]):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            ids.append(some)
+            size.append(np.diff(ends, prepend=0))
+        rest = self.tokenizer.encode_batch_fast([w.decode() for w, ok in zip(words, letters, strict=True) if not ok], add_special_tokens=False)
+        ids += [np.array(e.ids, self.kind) for e in rest]
+        size.append(np.array([len(e.ids) for e in rest], np.int64))
+        ids, size = np.concatenate(ids), np.concatenate(size)
+        self._room(len(keys), len(ids))
+        n, self.n, used, self.used = self.n, self.n + len(keys), self.used, self.used + len(ids)
+        self.keys[n : self.n], self.size[n : self.n], self.arena[used : self.used] = keys, size, ids
+        self.at[n : self.n] = used + np.cumsum(size) - size
+        self._place(n)
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        new = [w for w in dict.fromkeys(words) if w not in self.whole]
+        if len(self.whole) + len(new) > PARTS // 8:
+            self.whole.clear()
+            new = list(dict.fromkeys(words))
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        self.whole.update(zip(new, [np.array(e.ids, self.kind).tobytes() for e in found], strict=True))
+        return [self.whole[w] for w in words]
+
+    # ---- texts
+
+    def chunk(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each part or whole word of some bytes begins, how many ids it has, and all ids. ``edges``: where texts begin in it."""
+        kind, low = _CLASS[raw], _SMALL[raw]
+        inner = kind != 0
+        begins = inner.copy()
+        begins[1:] &= ~inner[:-1]
+        begins[edges] = inner[edges]
+        odd = kind == 4
+        lead = np.flatnonzero(raw == 0xC3)
+        if len(lead):  # two-byte letters; their second byte has the class of a letter, others are odd
+            second = low[lead + 1]
+            odd[lead[(second == 0x97) | (second == 0xB7)]] = True
+            low[lead + 1] = np.where((second >= 0x80) & (second <= 0x9E) & (second != 0x97), second + 0x20, second)
+        follow = np.flatnonzero((raw >= 0x80) & (raw < 0xC0))
+        if len(follow):
+            odd[follow[raw[follow - 1] != 0xC3]] = True
+        body = raw.tobytes()
+        for token in self.special:
+            k = body.find(token)
+            while k >= 0:
+                odd[k] = True
+                k = body.find(token, k + 1)
+        part = inner & (kind == 3)
+        part[1:] |= inner[1:] & (kind[1:] != kind[:-1])
+        part |= begins
+        start = np.flatnonzero(part)
+        stop = np.append(start[1:], len(raw))
+        # a part ends at white space
+        word = np.cumsum(begins)[start] - 1
+        first = np.flatnonzero(begins)
+        over = inner[:-1] & ~inner[1:]
+        over[edges[edges > 0] - 1] = inner[edges[edges > 0] - 1]  # of the last byte before a text
+        ends = np.flatnonzero(np.append(over, inner[-1:])) + 1
+        stop = np.minimum(stop, ends[word]) if len(start) else stop[:0]
+        length = stop - start
+        bad = np.zeros(len(first), bool)
+        if odd.any():
+            bad[np.searchsorted(first, np.flatnonzero(odd), side="right") - 1] = True
+        bad[word[length > WIDE]] = True
+        keep = ~bad[word]
+        start, length = start[keep], length[keep]
+        whole = np.flatnonzero(bad)
+        # keys: 8 bytes each at the start and 8 and 16 bytes further, what lies beyond the part masked
+        view = np.ndarray(len(low) + 1, np.dtype("<u8"), np.concatenate([low, np.zeros(WIDE + 8, np.uint8)]).tobytes(), strides=(1,)) if len(start) else None
+        keys = np.zeros((len(start), 3), np.uint64)
+        for k in range(3):
+            some = np.flatnonzero(length > 8 * k) if k else slice(None)
+            if k and not len(some):
+                break
+            n = np.minimum(length[some] - 8 * k, 8)
+            if view is not None:
+                keys[some, k] = view[np.minimum(start[some] + 8 * k, len(low))] & _MASK[n]
+        h = self._hash(keys)
+        number = self._find(keys, h)
+        new = np.flatnonzero(number < 0)
+        while len(new):
+            before = self.n
+            self._learn(keys[new], h[new])
+            if self.n <= before:  # some were forgotten
+                number = self._find(keys, h)
+                new = np.flatnonzero(number < 0)
+            else:
+                number[new] = self._find(keys[new], h[new])
+                new = new[number[new] < 0]
+        size, at = self.size[number].astype(np.int64), self.at[number].astype(np.int64)
+        source = self.arena
+        if len(whole):
+            words = self._whole([body[a:b] for a, b in zip(first[whole].tolist(), ends[whole].tolist(), strict=True)])
+            more = np.array([len(w) for w in words]) // self.kind.itemsize
+            source = np.concatenate([self.arena[: self.used], np.frombuffer(b"".join(words), self.kind)])
+            start, size, at = np.concatenate([start, first[whole]]), np.concatenate([size, more]), np.concatenate([at, self.used + np.cumsum(more) - more])
+            o = np.argsort(start)
+            start, size, at = start[o], size[o], at[o]
+        begin = np.cumsum(size) - size
+        return start, size, source[np.repeat(at - begin, size) + np.arange(int(size.sum()))]
+
+    def ids(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, each with ``END`` behind, and the n + 1 offsets. Goes through ``CHUNK`` bytes at a time, cut at white space."""
+        n, found = np.zeros(len(at) - 1, np.int64), []
+        place, last = int(at[0]), int(at[-1])
+        while place < last:
+            stop = _cut(raw, at, place, last)
+            i, j = np.searchsorted(at, place, side="right"), np.searchsorted(at, stop)
+            start, size, ids = self.chunk(raw[place:stop], at[i:j] - place)
+            text = np.searchsorted(at, start + place, side="right") - 1
+            n += np.bincount(text, size, len(n)).astype(np.int64)
+            found.append(ids)
+            place = stop
+        cuts = np.concatenate([[0], np.cumsum(n + 1)])
+        out = np.full(int(cuts[-1]), END, "<u4")
+        inside = np.ones(len(out), bool)
+        inside[cuts[1:] - 1] = False
+        out[inside] = np.concatenate(found) if found else 0
+        return out, cuts
+
+
+def _cut(raw: np.ndarray, at: np.ndarray, place: int, last: int) -> int:
+    """Where the bytes from ``place`` on may be cut: after white space or a text; a run without either is never cut."""
+    stop = place + CHUNK
+    if stop >= last:
+        return last
+    edge = int(at[np.searchsorted(at, stop, side="right") - 1])
+    if edge > place and stop - edge < CHUNK // 2:
+        return edge
+    step = 1 << 12
+    while stop < last:
+        some = raw[stop : min(stop + step, last)]
+        space = np.flatnonzero((some == 32) | ((some >= 9) & (some <= 13)))
+        edge = int(at[np.searchsorted(at, stop)])
+        if len(space) and stop + int(space[0]) < edge:
+            return stop + int(space[0]) + 1
+        if edge <= stop + len(some):
+            return edge
+        stop += step
+    return last
+
+
+#: By byte: 0 white space, 1 part of a letter, 2 other ASCII, 3 digit, 4 what only the tokenizer itself can judge (and NUL, which ends keys).
+_CLASS = np.full(256, 2, np.uint8)
+_CLASS[[32, *range(9, 14)]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 1
+_CLASS[48:58] = 3
+_CLASS[[0, 39, 0xC0, 0xC1, 0xC2, *range(0xC4, 256)]] = 4
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 _words: dict[str, Words] = kept.setdefault("packing", {})
@@ -109,25 +294,22 @@ def tokenised(docs: DataFrame, path: str, keep: list[str], length: int = LENGTH,
 
     def run(batches):
         words = words_of(path)
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                part = batch.slice(a, 128)
-                row, piece, size, crc, bodies = [], [], [], [], []
-                for i, ids in enumerate(words.ids([(t or "").encode() for t in part.column(0).to_pylist()])):
-                    ids += end
-                    for k in range(0, len(ids), 4 * length):
-                        some = ids[k : k + 4 * length]
-                        row.append(i)
-                        piece.append(k // (4 * length))
-                        size.append(len(some) // 4)
-                        crc.append(zlib.crc32(some))
-                        if with_ids:
-                            bodies.append(some)
-                at = pa.array(row, pa.int32())
-                p = np.array(piece, np.int32)
-                columns = [c.take(at) for c in part.columns[1:]] + [pa.array(p), pa.array(p.astype(np.int64) * length), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(bodies, pa.binary())] * with_ids, names=[*batch.schema.names[1:], "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            raw, at = buffer(batch.column(0))
+            for i, j in pieces(at, 1 << 21):
+                ids, cuts = words.ids(raw, at[i : j + 1])
+                n = -(-np.diff(cuts) // length)
+                row = np.repeat(np.arange(j - i), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                a = cuts[row] + piece * length
+                b = np.minimum(a + length, cuts[row + 1])
+                body = memoryview(ids).cast("B")
+                spans = list(zip((4 * a).tolist(), (4 * b).tolist(), strict=True))
+                crc = [zlib.crc32(body[p:q]) for p, q in spans]
+                take = pa.array(row + i)
+                columns = [c.take(take) for c in batch.columns[1:]] + [pa.array(piece.astype(np.int32)), pa.array(piece * length), pa.array(b - a), pa.array(crc, pa.int64())]
+                columns += [pa.array([body[p:q].tobytes() for p, q in spans], pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidy(run, "packing"), f"{kinds}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 

@@ -157,7 +157,6 @@ def test_packing(spark, sf, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary())
-    tok.encode_special_tokens = True
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t, _ in docs}
     got = registry.QUERIES["op9_packing"](spark, sf).collect()
     bins = {}
@@ -176,6 +175,24 @@ def test_packing(spark, sf, docs):
     assert len(bins) <= 1.02 * sum(map(len, ids.values())) / 4096 + 1
 
 
+def test_ids_are_the_tokenizers(monkeypatch):
+    """Odd bytes, special tokens, runs without white space, and a table that has to forget."""
+    import random
+
+    import pyarrow as pa
+    from lexforge.llm import packing
+    from lexforge.llm.common import buffer
+
+    monkeypatch.setattr(packing, "PARTS", 400)
+    monkeypatch.setattr(packing, "CHUNK", 700)
+    words, r = packing.Words(vocabulary()), random.Random(1)
+    some = [*"abz AZ09.,'<|>é ÉßÀ×÷ªµ\t\n\x0b\x00\x1cİ漢ſКﬁ½²ñ", "e\u0301", "\u0085", "\u00a0", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'s", "'re", "don't", "x" * 30, "é" * 13, "word "]
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(60))) for _ in range(1500)] + ["", "a" * 5000, "ab " * 5000, None]
+    ids, cuts = words.ids(*buffer(pa.array(texts)))
+    for k, t in enumerate(texts):
+        assert ids[cuts[k] : cuts[k + 1]].tolist() == words.tokenizer.encode(t or "", add_special_tokens=False).ids + [1], t
+
+
 def test_language_model(spark, sf, docs):
     got = rows(spark, sf, "op10_kneser_ney")
     tokens = {i: [*WORD.findall(lower(t)), None] for i, t, _ in docs}
