@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,14 +47,25 @@ def vocabulary(docs: DataFrame, size: int = 32_000) -> list[str]:
 
 
 def tokenised(docs: DataFrame, vocab: list[str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, token_ids (with the end of document). No shuffle; the vocabulary is a broadcast of known size."""
-    ids = docs.sparkSession.sparkContext.broadcast({w: i + len(SPECIAL) for i, w in enumerate(vocab)})
+    """``keep``, token_ids (with the end of document). No shuffle; the vocabulary is a broadcast of known size.
+
+    A batch's words are looked up by Arrow's hash of the vocabulary, all at once.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
-        find = ids.value.get
+        words = pa.array(known.value, pa.string())
         for batch in batches:
-            out = [[find(w, UNKNOWN) for w in words or ()] + [EOD] for words in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names[1:], "token_ids"])
+            lists = batch.column(0)
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = pc.index_in(lists.flatten(), words).fill_null(UNKNOWN - len(SPECIAL)).to_numpy(zero_copy_only=False).astype(np.int32) + len(SPECIAL)
+            ends = np.cumsum(n + 1)
+            out = np.full(int(ends[-1]) if len(ends) else 0, EOD, np.int32)
+            inside = np.ones(len(out), bool)
+            inside[ends - 1] = False
+            out[inside] = ids
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(offsets, pa.array(out))], names=[*batch.schema.names[1:], "token_ids"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(t.words(F.col("text")).alias("_words"), *keep).mapInArrow(run, f"{kinds}, token_ids array<int>")
@@ -121,13 +132,3 @@ def rendered_chats(turns: DataFrame, roles: dict[str, str] | None = None) -> Dat
         mark = F.when(F.col("role") == role, m).otherwise(mark)
     d = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(mark, F.coalesce("text", F.lit(""))).alias("text")))).alias("t"))  # one conversation
     return d.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))
-
-
-def special_table(docs: DataFrame) -> DataFrame:
-    """id, token of the special tokens."""
-    return docs.sparkSession.createDataFrame(list(enumerate(SPECIAL)), "id int, token string")
-
-
-def samples_for(tokens: int, epochs: int, length: int = 2048) -> int:
-    """Samples of ``length`` tokens (each needs one more as its last target) in so many epochs."""
-    return math.floor((tokens * epochs - 1) / length)

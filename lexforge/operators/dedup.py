@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..shared import cut, join_heads
 
 PRIME = 4_294_967_311
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 8
@@ -46,15 +47,17 @@ def bands(sigs: DataFrame, keep: list[str], n: int = PERMUTATIONS, rows: int = R
 def near_copies(docs: DataFrame, by: list[str] | None = None, width: int = SHINGLE) -> DataFrame:
     """doc_id, the columns ``by`` (the scope; none: all documents; nulls are one scope) and is_rejected of every document.
 
-    Bands that one document has are dropped before the join; of a band that many have, only its smallest id is joined.
+    Bands that one document has are dropped by the join; of a band that many have, only its smallest id is joined, and where it
+    fills more than a small share of all rows, by broadcast.
     """
     by = by or []
     own = {c: f"_{c}" for c in by}
     same = [F.col(c).eqNullSafe(F.col(o)) for c, o in own.items()]
-    b = bands(signatures(docs, ["doc_id", *by], width), ["doc_id", *by])
-    seen = b.groupBy("band", "key", *by).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    seen = seen.withColumnsRenamed({"band": "_band", "key": "_key", **own})
-    later = b.join(seen, [F.col("band") == F.col("_band"), F.col("key") == F.col("_key"), *same]).where("doc_id > first").select("doc_id", *by).distinct()
+    b = cut(bands(signatures(docs, ["doc_id", *by], width), ["doc_id", *by]), "bands")
+    # bands and scopes go by one digest, so that a null scope is a key like others
+    b = b.withColumn("_scope", F.sha2(F.to_json(F.struct("band", "key", *by), {"ignoreNullFields": "false"}), 256))
+    seen = cut(b.groupBy("_scope").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "seen")
+    later = join_heads(b, seen, ["_scope"], "n", b.count()).where("doc_id > first").select("doc_id", *by).distinct()
     later = later.withColumnsRenamed({"doc_id": "_doc_id", **own}).withColumn("is_rejected", F.lit(True))
     out = docs.select("doc_id", *by).join(later, [F.col("doc_id") == F.col("_doc_id"), *same], "left")
     return out.select("doc_id", *by, F.coalesce("is_rejected", F.lit(False)).alias("is_rejected"))
@@ -62,6 +65,8 @@ def near_copies(docs: DataFrame, by: list[str] | None = None, width: int = SHING
 
 def exact_copies(docs: DataFrame) -> DataFrame:
     """doc_id, first_id (the smallest with the same text) and is_rejected. Texts move as digests."""
-    d = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    first = d.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    return d.join(first, "digest").select("doc_id", "first_id", (F.col("doc_id") > F.col("first_id")).alias("is_rejected"))
+    d = cut(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")), "digests")
+    first = cut(d.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    out = join_heads(d, first, ["digest"], "n", d.count(), "left")
+    first_id = F.coalesce("first_id", "doc_id")
+    return out.select("doc_id", first_id.alias("first_id"), (F.col("doc_id") > first_id).alias("is_rejected"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..shared import running
+from ..shared import cut, join_heads, running
 
 
 def prompt_split(tokens: Column) -> tuple[Column, Column]:
@@ -45,10 +45,11 @@ def perplexity(windows: DataFrame) -> DataFrame:
 def unigram_nll(docs: DataFrame) -> DataFrame:
     """doc_id, pos, nll: -log of each word's share of all words; a stand-in for a model.
 
-    Words meet their counts once for each document that holds them, with their positions there.
+    Words meet their counts once for each document that holds them, with their positions there; frequent words are broadcast.
     """
     own = docs.select("doc_id", F.posexplode(t.words(F.col("text"))).alias("pos", "word")).groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))  # positions in one document
-    own = own.withColumn("k", F.size("at"))
-    counts = own.groupBy("word").agg(F.sum("k").alias("c"))
-    total = counts.agg(F.sum("c").alias("total"))  # one row
-    return own.join(counts, "word").join(F.broadcast(total)).select("doc_id", F.explode("at").alias("pos"), (-F.log(F.col("c") / F.col("total"))).alias("nll"))
+    own = cut(own, "positions")
+    counts = cut(own.groupBy("word").agg(F.sum(F.size("at")).alias("c"), F.count(F.lit(1)).alias("n")), "counts")
+    total, rows = counts.agg(F.sum("c"), F.sum("n")).first()
+    scored = join_heads(own, counts, ["word"], "n", rows or 0)
+    return scored.select("doc_id", F.explode("at").alias("pos"), (-F.log(F.col("c") / F.lit(total))).alias("nll"))

@@ -36,13 +36,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names; where that is unset, a local master gets a temporary one."""
     global _own
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top and spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+    if not top and (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
         if not _own:
             _own = tempfile.mkdtemp(prefix="lexforge-")
             atexit.register(shutil.rmtree, _own, True)
         top = f"file://{_own}"
     top = top or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return f"{top.rstrip('/')}/lexforge/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{top.rstrip('/')}/lexforge/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """What was written for one session goes with its driver."""
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may have ended first
+        pass
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -52,6 +63,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most keys that ``join_heads`` broadcasts.
+HEADS = 4096
+
+
+def join_heads(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key, and in ``n`` how many of the ``rows`` rows of ``left`` have it.
+
+    Keys of more than rows / HEADS rows are fewer than HEADS, so they are broadcast, and their rows stay where they are; all others
+    are joined by shuffle, where no key can fill a task. ``left`` is read twice: pass a table.
+    """
+    hot = F.col(n) > max(1, rows // HEADS)
+    more = [c for c in right.columns if c not in on]
+    marked = left.join(F.broadcast(right.where(hot).withColumn("_head", F.lit(True))), on, "left")
+    rest = marked.where("_head is null").drop("_head", *more).join(right.where(~hot), on, how)
+    return marked.where("_head").drop("_head").unionByName(rest)
+
+
 def running(df: DataFrame, order: list[Column], amount: Column | None = None, name: str = "before") -> DataFrame:
     """``df`` with the sum of ``amount`` (1 if not given: the row's rank from 0) over all rows before each, in ``order``.
 
