@@ -11,17 +11,20 @@ A document's set holds the 64-bit hashes of its word shingles; its sketch is the
 3. Inverted lists of those values generate pairs: short lists (at most SHORT) all of their pairs; long ones only
    pairs with a few leaders. The union sketch estimates the similarity and drops pairs far below; the full sets
    confirm links.
-4. What long lists connect is a region. What is not in the largest component of its region after that is compared by
+4. What long lists connect is a region. Sets with more than a fifth of values that nothing else in the region has are linked with
+   nothing and go out; this takes one count of values. What then is not in the largest component of its region is compared by
    its full set, block by block, with all of the region, so that no link between components is lost; a block emits
    at most a pair a row. Links inside a component change nothing. The work here is that of a region's outsiders times the
    region, some nanoseconds a pair and shared value.
 5. Components: minimum labels by alternating large and small stars, on tables in the shared folder.
 
-Nothing of the size of the documents reaches the driver; a side is broadcast only after its rows are counted.
+Nothing of the size of the documents reaches the driver; a side is broadcast only after its bytes are counted, or where it holds
+the few keys that fill a set share of all rows (``join_heads``).
 
 Defined results: a text without words, or null, has an empty set, is its own component and is kept. A row without
 doc_id takes part with its text only if another row has the same set; alone, its component is null and it is kept.
-Rows that share one doc_id count as one document for links, and each has its own row in the result.
+Rows that share one doc_id count as one document for links, and each has its own row in the result. An empty table has an empty
+result. A very long text is one set like others. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import join_heads
 from .common import buffer, cut, mix, pieces, small, table, tidy, word_hashes
 
 K = 64
@@ -112,8 +116,9 @@ def _values(reps: DataFrame) -> DataFrame:
 def lists(reps: DataFrame) -> DataFrame:
     """(value, id, n): the inverted lists of the values that a pair must share one of; see 2. above."""
     every = _values(reps)
-    shared = cut(every.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-values")
-    have = every.join(shared, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))  # K entries at most
+    counted = every.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
+    shared = cut(counted.where("df > 1"), "near-values")
+    have = join_heads(every, shared, ["value"], "df", K * reps.count()).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))  # K entries at most
     kept = F.least("n", F.lit(K))
     need = F.when(F.col("n") <= K * 4 // 5, F.ceil(F.col("n") * 4 / 5)).otherwise(F.lit(HALF))
     room = (kept - need + 1 - (kept - F.size("v"))).cast("int")  # values that no other has come first and have no list
@@ -171,7 +176,7 @@ class Links:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, listed: DataFrame, width: int):
         self.reps = reps
-        ids = listed.select("id").distinct()
+        ids = cut(listed.select("id").distinct(), "near-ids")
         self.held = cut(reps.select("id", "n", "sketch").join(small(ids), "id", "left_semi"), "near-held")
         chosen = docs.select("doc_id", "text").join(small(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
         self.sets = cut(_sets(chosen, width), "near-sets")
@@ -272,7 +277,7 @@ def _short_pairs(rows: DataFrame) -> DataFrame:
 
 def _star_pairs(rows: DataFrame, leaders: DataFrame) -> DataFrame:
     """Pairs of each row with the leaders of its lists. A row's lists mostly have the same leaders, so they are united first."""
-    x = rows.join(small(leaders), "value").groupBy("id", "n").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))  # K lists at most
+    x = rows.join(small(cut(leaders, "near-leaders")), "value").groupBy("id", "n").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))  # K lists at most
     x = x.select("id", "n", F.explode("leaders").alias("l")).where((F.col("id") != F.col("l.leader")) & _close(F.col("n"), F.col("l.n_leader")))
     return x.select(F.least("id", "l.leader").alias("a"), F.greatest("id", "l.leader").alias("b")).distinct()
 
@@ -303,13 +308,33 @@ def _common(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) ->
     return out
 
 
+def _linkable(d: DataFrame) -> DataFrame:
+    """Those of ``d`` (id, n, set) that can have a link in it: at least 0.8 of a linked set's values are in another set, too.
+
+    So texts that share a passage, and are else their own, go out before anything is compared. Values that one id has are counted
+    by value and then by id; nothing is joined by value.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                v = [np.frombuffer(x.as_py(), np.int64) for x in part.column(1)]
+                at = pa.array(np.repeat(np.arange(len(v)), [len(x) for x in v]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.concatenate(v))], names=["id", "value"])
+
+    own = d.select("id", "set").mapInArrow(tidy(run), "id long, value long").groupBy("value").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("df")).where("df = 1")
+    own = own.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    return d.join(cut(own, "near-own"), "id", "left").where(5 * F.coalesce("own", F.lit(0)) <= F.col("n")).drop("own")
+
+
 def _rest_links(rows: DataFrame, links: Links) -> DataFrame:
     """What long lists still link between components: pairs (a, b) that are connected by links between exact sets.
 
     Regions are the ids that long lists connect. What lies outside of the largest component of its region, in parts, is
     compared with all of the region, in blocks; parts and blocks hold some BLOCK values each.
     """
-    first = rows.groupBy("value").agg(F.min("id").alias("b"))
+    first = cut(rows.groupBy("value").agg(F.min("id").alias("b")), "near-first")
     regions = components(rows.join(small(first), "value").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
     d = rows.select("id", "n").distinct().join(regions.withColumnRenamed("root", "region"), "id", "left").withColumn("region", F.coalesce("region", "id"))
     d = d.join(links.labels, "id", "left").withColumn("root", F.coalesce("root", "id")) if links.labels is not None else d.withColumn("root", F.col("id"))
@@ -318,7 +343,9 @@ def _rest_links(rows: DataFrame, links: Links) -> DataFrame:
     top = sizes.groupBy("region").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("all")).where(F.col("all") > F.col("top.size"))
     up = lambda c: F.ceil(c / BLOCK).cast("int")
     top = top.select("region", F.col("top.root").alias("main"), up(F.col("all") - F.col("top.size")).alias("parts"), up(F.col("all")).alias("blocks"))
-    d = d.join(small(top), "region").join(links.sets, "id")
+    top = cut(top, "near-tops")
+    d = cut(d.join(small(top), "region").join(links.sets, "id"), "near-rest")
+    d = _linkable(d)
     h = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     few = d.where("root <> main").withColumn("i", h("parts")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("few", F.lit(True))
     every = d.withColumn("j", h("blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("few", F.lit(False))
@@ -344,7 +371,7 @@ def _rest_links(rows: DataFrame, links: Links) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, text_hash, kept."""
     mine = cut(sketches(docs, width), "near-sketches")
-    classes = mine.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch"))
+    classes = mine.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     reps = cut(classes, "near-classes")
     listed = cut(lists(reps.where("id is not null")), "near-lists")
     sizes = cut(listed.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
@@ -363,13 +390,9 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         links.add(_rest_links(long_, links))
     else:
         links.confirm(first)
-    rep = reps.select("d1", "d2", F.col("n").alias("_n"), "id")
-    if links.labels is not None:
-        rep = rep.join(links.labels, "id", "left").select("d1", "d2", "_n", F.coalesce("root", "id").alias("root"))
-    else:
-        rep = rep.withColumnRenamed("id", "root")
-    rep = rep.withColumnsRenamed({"d1": "_d1", "d2": "_d2"})
-    out = mine.join(rep, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n") == F.col("_n")), "left")
+    rep = reps.select("d1", "d2", "n", "id", "copies")
+    rep = rep.withColumn("root", F.col("id")) if links.labels is None else rep.join(links.labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    out = join_heads(mine.drop("sketch"), cut(rep.drop("id"), "near-roots"), ["d1", "d2", "n"], "copies", mine.count(), "left")
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

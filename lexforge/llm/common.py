@@ -76,13 +76,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that may be broadcast: 16 bytes each, some 40 MB as a hash table.
-SMALL = 500_000
-
-
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to be small; else as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Most bytes of a side that is broadcast, as its columns take them (some three times that as a hash table).
+SMALL = 16 << 20
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted and measured in place by one aggregate, take few bytes; else as it is, to be
+    joined by shuffle. Pass what ``cut`` has written: it is read for this."""
+    width, sizes = 16, []
+    for f in df.schema:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        width += 8
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif kind == "array":
+            sizes.append(32 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)))
+    each = sum(sizes, F.lit(width)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= most else df
 
 
 def crc_mod(doc_id, n: int):

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL, cut, small, table
+from .common import cut, small, table
 
 MAX_OWNERS = 2
 #: Base kinds in their order: pattern, group of the value, least length of the value.
@@ -114,9 +114,8 @@ def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """``docs`` with the columns they have; each run of overlapping spans is replaced by ``mark``, and n_chars follows if it is there."""
     s = secret_spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"])
     d = docs.withColumn("_text_hash", F.xxhash64("text"))
-    s = cut(s, "secret-spans")
-    n = s.agg(F.sum(F.size("spans"))).first()[0] or 0
-    d = d.join(F.broadcast(s) if n <= SMALL // 4 else s, d.doc_id.eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    s = small(cut(s, "secret-spans"))
+    d = d.join(s, d.doc_id.eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(a, s):
