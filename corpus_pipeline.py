@@ -36,9 +36,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id; of rows that are the same, one."""
     found = cut(near_duplicates(docs, SHINGLE).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept"), "pipeline-near")
     same = lambda d, x: d.doc_id.eqNullSafe(x._id) & (F.xxhash64(d.text) == x._hash)
-    gone = small(found.where("not kept").select("_id", "_hash").distinct())
+    gone = small(cut(found.where("not kept").select("_id", "_hash").distinct(), "pipeline-gone"))
     left = docs.join(gone, same(docs, gone), "left_anti")
-    twice = found.where("kept").groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = cut(found.where("kept").groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "pipeline-twice")
     if not twice.limit(1).count():
         return left
     twice = small(twice)
