@@ -8,7 +8,7 @@ brute force.
 from __future__ import annotations
 
 from .common import WORD
-from .secrets import BASE, EXTRA, MAX_OWNERS
+from .secrets import BASE, EXTRA, MAX_OWNERS, MAX_REPOSITORIES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -42,10 +42,11 @@ def secrets() -> str:
     counts = ", ".join(f"count_if(kind = '{k}')::BIGINT as n_{k}" for k, *_ in BASE)
     return f"""
 with p as ({" union all ".join(kinds)}),
-o as (select v, count(distinct source) <= {MAX_OWNERS} as live from p group by v),
+c as (select v, count(distinct coalesce('=' || source, '')) as owners, count(distinct coalesce('=' || source, '') || chr(10) || coalesce('=' || lang, '')) as repositories from p group by v),
+o as (select *, owners <= {MAX_OWNERS} and repositories <= {MAX_REPOSITORIES} as live from c),
 j as (select * from p join o using (v)),
-d as (select doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < {base}) as b, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < {base} or live) as a, count_if(live)::BIGINT as n_live, count_if(not live)::BIGINT as n_example from j group by doc_id)
-select doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT as n_{k}" for k, *_ in BASE)}, sha256(coalesce(b, '')) as base_sha256, coalesce(a, '') as spans, coalesce(n_live, 0)::BIGINT as n_live, coalesce(n_example, 0)::BIGINT as n_example
+d as (select doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < {base}) as b, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < {base} or live) as a, count_if(live)::BIGINT as n_live, count_if(not live)::BIGINT as n_example, max(owners) as mo, max(repositories) as mr from j group by doc_id)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT as n_{k}" for k, *_ in BASE)}, sha256(coalesce(b, '')) as base_sha256, coalesce(a, '') as spans, coalesce(n_live, 0)::BIGINT as n_live, coalesce(n_example, 0)::BIGINT as n_example, coalesce(mo, 0)::BIGINT as most_owners, coalesce(mr, 0)::BIGINT as most_repositories
 from documents left join d using (doc_id)"""
 
 

@@ -2,14 +2,16 @@
 
 Candidates come from the three base patterns and from further ones (``EXTRA``). The digest of a candidate's value is counted
 over the whole corpus by distinct owners and repositories: first distinct (digest, owner, repository), so that a value
-which a third of all rows hold is aggregated before it moves, then sums. A value of more than ``MAX_OWNERS`` owners is
-an example that is widely copied; others look live. Base spans are always reported; further ones if live. A private key
-is matched with its body (``KEY``) and counted by it: the header, which all keys share, says nothing of the owner.
+which a third of all rows hold is aggregated before it moves, then sums. A value of more than ``MAX_OWNERS`` owners or
+``MAX_REPOSITORIES`` repositories is an example that is widely copied; others look live. Base spans are always reported; further ones
+if live. A private key is matched with its body (``KEY``) and counted by it: the header, which all keys share, says nothing of the
+owner. In ``documents`` the column source stands for the owner, and source and lang for the repository.
 
 Everything is DataFrame functions. A text's matches and what stands between them, both by one pattern, give the positions.
 
 Defined results: a null text is empty; a null owner or repository counts as one of its own. Rows with one doc_id and
-text have the same result each.
+text have the same result each. Matches that start at one place are ordered by kind. A text of any length is one value. An empty
+table has an empty result; other columns are not read (``redacted`` carries them).
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut, small, table
 
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 4
 #: Base kinds in their order: pattern, group of the value, least length of the value.
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -91,23 +94,24 @@ def ownership(found: DataFrame) -> DataFrame:
     d = found.groupBy("digest", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
     d = d.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
     d = d.groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n_places"))
-    return d.withColumn("live", F.col("n_owners") <= MAX_OWNERS)
+    return d.withColumn("live", (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repositories") <= MAX_REPOSITORIES))
 
 
 def secret_spans(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_hash, n_<base kind>, base and spans (arrays of start, rank, end, kind), n_live, n_example."""
+    """One row per row of ``docs``: doc_id, text_hash, n_<base kind>, base and spans (arrays of start, rank, end, kind), n_live, n_example,
+    and the most owners and repositories that one of its values has."""
     kinds = [k for k, *_ in BASE], [k for k, *_ in EXTRA]
     c = candidates(docs, owner, list(repository))
     places = c.select("doc_id", "text_hash", "owner", "repository", F.explode(_all(kinds[0] + kinds[1])).alias("s"))
     held = cut(ownership(places.select("s.digest", "owner", "repository")), "secret-owners")
-    judged = places.select("doc_id", "text_hash", "s").withColumn("digest", F.col("s.digest")).join(small(held.select("digest", "live")), "digest")
+    judged = places.select("doc_id", "text_hash", "s").withColumn("digest", F.col("s.digest")).join(small(held.select("digest", "live", "n_owners", "n_repositories")), "digest")
     span = F.struct("s.start", "s.rank", "s.end", "s.kind")
-    mine = judged.groupBy("doc_id", "text_hash").agg(F.collect_set(F.when((F.col("s.rank") < len(BASE)) | F.col("live"), span)).alias("spans"), F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("example"))
+    mine = judged.groupBy("doc_id", "text_hash").agg(F.collect_set(F.when((F.col("s.rank") < len(BASE)) | F.col("live"), span)).alias("spans"), F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("example"), F.max("n_owners").alias("owners"), F.max("n_repositories").alias("repositories"))
     mine = mine.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     out = c.join(mine, c.doc_id.eqNullSafe(mine._id) & (c.text_hash == mine._hash), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     spans = F.sort_array(F.coalesce("spans", none))
-    return out.select("doc_id", "text_hash", *[F.coalesce(F.size(k), F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds[0]], F.filter(spans, lambda s: s["rank"] < len(BASE)).alias("base"), spans.alias("spans"), F.coalesce("live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("example", F.lit(0)).cast("long").alias("n_example"))
+    return out.select("doc_id", "text_hash", *[F.coalesce(F.size(k), F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds[0]], F.filter(spans, lambda s: s["rank"] < len(BASE)).alias("base"), spans.alias("spans"), F.coalesce("live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("example", F.lit(0)).cast("long").alias("n_example"), F.coalesce("owners", F.lit(0)).alias("most_owners"), F.coalesce("repositories", F.lit(0)).alias("most_repositories"))
 
 
 def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
@@ -134,4 +138,4 @@ def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
 def op5_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = secret_spans(table(spark, sf_dir, "documents"))
     join = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    return s.select("doc_id", *[f"n_{k}" for k, *_ in BASE], F.sha2(join("base"), 256).alias("base_sha256"), join("spans").alias("spans"), "n_live", "n_example")
+    return s.select("doc_id", *[f"n_{k}" for k, *_ in BASE], F.sha2(join("base"), 256).alias("base_sha256"), join("spans").alias("spans"), "n_live", "n_example", "most_owners", "most_repositories")

@@ -5,7 +5,9 @@ Training, once per call:
 1. every labelled training text adds its distinct hashed n-grams to per-class document counts (Spark, all
    rows); they give the log-count ratio r of each bucket;
 2. the ``FEATURES`` buckets that speak most for the toxic class (the difference of their shares times r) become
-   features with value r where present;
+   features with value r where present. Buckets that speak for the clean class are left out: with as many of them
+   beside (4096 in all) the held-out AUC on 10,000 documents falls from 0.990 to 0.947, and toxic ones found at the threshold
+   from 0.87 to 0.72, as what clean texts are about is then learnt, too;
 3. a logistic regression over them is fitted on at most ``SAMPLE`` training rows of each class, those with
    the smallest crc32 of their id (a documented bound; counts above have none).
 
@@ -13,7 +15,8 @@ Scoring goes through every whole text, in vectorised passes of Arrow batches. A-
 
 Defined results: a null text is an empty one; labels that are null or of unknown documents are not learnt
 from; several labels of one document all count; without two classes to learn from the score is the share of
-toxic labels, or 0; columns of the input with other names are never read.
+toxic labels, or 0; columns of the input with other names are never read. Texts of any length are scored whole, repeated rows
+each, alike. An empty table has an empty result.
 """
 
 from __future__ import annotations
