@@ -12,7 +12,7 @@ White space (Unicode's) inside a block becomes one space; a line break element c
 capped: a page with more blocks has a larger graph, in which edges only join what is near.
 
 Defined results: a null or empty page has the text '' and no blocks; equal pages have equal texts; repeated rows have a row
-each; other columns are carried only where asked for.
+each; an empty table has an empty result; costs that tie go to content; other columns are carried only where asked for.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Names of HTML.
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video noembed noframes xmp select".split())
+RAW = frozenset("script style template textarea title iframe svg select".split())
+#: Of these all that follows belongs to them if they are never closed; of the others only the tag is left out then.
+OPEN_END = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -70,9 +72,10 @@ class Page:
         self.tags: list[str] = ["#root"]
         self.parent: list[int] = [-1]
         self.depth: list[int] = [0]
-        self.flag: list[int] = [0]  # boilerplate: 1 unless the article lies within, 4 unless it or an h1 does, 2 always; 3 a good name
+        self.flag: list[int] = [0]  # boilerplate: 1 unless the article lies within, 4 unless it or an h1 does, 2 always; 3 a good name; 5 doubtful
         self.cleared: list[bool] = [False]  # the article lies within
         self.titled: list[bool] = [False]  # an h1 lies within
+        self.inside: list[bool] = [False]  # it is an article, or lies within one
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._scan(source)
 
@@ -96,10 +99,12 @@ class Page:
             elif role in ROLES:
                 flag = 1
             elif not flag and names & WORDS and not main and tag not in ("body", "html", *HEADINGS):
-                flag = 4
+                # inside the article, a class that is a good name of its own leaves it to the cut
+                flag = 5 if self.inside[up] and not GOOD.isdisjoint(a.get("class", "").lower().split()) else 4
             elif not flag and names & GOOD:
                 flag = 3
-        if tag == "header" and not self._inside(up):
+        self.inside.append(self.inside[up] or tag in ("article", "main"))
+        if tag == "header" and not self.inside[up]:
             flag = 1
         self.flag.append(flag)
         x = up if tag == "h1" else 0
@@ -110,13 +115,6 @@ class Page:
                 self.cleared[up], up = True, self.parent[up]
         return at
 
-    def _inside(self, at: int) -> bool:
-        while at > 0:
-            if self.tags[at] in ("article", "main"):
-                return True
-            at = self.parent[at]
-        return False
-
     def _scan(self, source: str) -> None:
         at, text, linked, link = 0, [], 0, 0
         open_: dict[str, int] = {}
@@ -173,8 +171,8 @@ class Page:
             if tag in RAW:
                 if not m[3].endswith("/"):
                     stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, place)
-                    place = stop.end() if stop else len(source)
-                text.append(" " if tag in ("select", "textarea", "iframe", "object", "video", "audio", "canvas") else "")
+                    place = stop.end() if stop else len(source) if tag in OPEN_END else place
+                text.append(" " if tag in ("select", "textarea", "iframe") else "")
                 continue
             if tag == "br":
                 text.append(" ")
@@ -212,12 +210,13 @@ class Page:
     def odds(self) -> list[float | None]:
         """Log-odds of content of each block; None for what is boilerplate by its place."""
         n = len(self.tags)
-        hard, main, good = [False] * n, [False] * n, [False] * n
+        hard, main, good, doubt = [False] * n, [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             p, f = self.parent[i], self.flag[i]
             hard[i] = hard[p] or f == 2 or f in (1, 4) and not self.cleared[i] and not (f == 4 and self.titled[i])
             main[i] = not hard[i] and (main[p] or self.tags[i] in ("article", "main"))
             good[i] = good[p] or f == 3
+            doubt[i] = doubt[p] or f == 5
         out: list[float | None] = []
         for at, text, linked in self.blocks:
             if hard[at]:
@@ -226,6 +225,7 @@ class Page:
             words, share = text.count(" ") + 1, min(1.0, linked / len(text))
             s = -1.5 + min(words, 40) / 12 + 0.8 * bool(_SENTENCE.search(text)) + 0.8 * good[at]
             s += 3.0 if main[at] else 0.0
+            s -= 1.5 if doubt[at] else 0.0
             s -= (2.0 if main[at] else 4.0) * share
             x = at
             while x and self.tags[x] not in BLOCK:

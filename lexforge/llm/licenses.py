@@ -8,7 +8,8 @@ them, merge into one span. A span holds if it covers enough of the template (``C
 Everything is DataFrame functions. The only rows that move are counts of diagonals.
 
 Defined results: a null text is empty and has no words, labels or spans (score 0). Rows with one doc_id and text have the
-same result each; texts that are fuller than templates, or hold several, have all their labels.
+same result each; texts that are fuller than templates, or hold several, have all their labels. Of spans over the same words that
+fit equally well all hold. An empty table has an empty result; very long texts are looked through whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,6 +56,11 @@ def _text() -> Column:
     return F.coalesce("text", F.lit(""))
 
 
+def _low() -> Column:
+    """A-Z lower-cased, no other letters."""
+    return F.translate(_text(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _grams(words: str) -> Column:
     """(w1, w2, w3) at each position, nulls beyond the end."""
     n = F.size(words)
@@ -74,7 +80,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     ``text_hash`` tells rows apart that share a doc_id.
     """
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all(F.lower(_text()), F.lit(WORDS), F.lit(0)).alias("words"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all(_low(), F.lit(WORDS), F.lit(0)).alias("words"))
     d = d.select("doc_id", "text_hash", F.posexplode(_grams("words")).alias("pos", "g")).select("doc_id", "text_hash", "pos", F.col("g.w1").alias("w1"), F.col("g.w2").alias("w2"), F.col("g.w3").alias("w3"), F.xxhash64("g.w1", "g.w2", "g.w3").alias("hash"))
     hits = d.join(F.broadcast(templates(docs.sparkSession)), "hash").where("w1 = t1 and w2 = t2 and w3 = t3")
     key = ["doc_id", "text_hash", "template", "label", "size"]
@@ -111,7 +117,7 @@ def _base(n_words: Column) -> dict[str, Column]:
         pattern = F.lit(rf"(?i)(?<![^{_OUT}])" + rf"[{_OUT}]+".join(words) + rf"(?![^{_OUT}])")
         parts = F.split(_text(), pattern, -1)
         n = F.regexp_count(_text(), pattern)
-        out[label] = F.when(F.lower(_text()).contains(HINTS[label]) & (n > 0), F.struct(n.alias("n"), F.regexp_count(F.element_at(parts, 1), F.lit(WORDS)).alias("first"), (n_words - len(words) - F.regexp_count(F.element_at(parts, -1), F.lit(WORDS))).alias("last")))
+        out[label] = F.when(_low().contains(HINTS[label]) & (n > 0), F.struct(n.alias("n"), F.regexp_count(F.element_at(parts, 1), F.lit(WORDS)).alias("first"), (n_words - len(words) - F.regexp_count(F.element_at(parts, -1), F.lit(WORDS))).alias("last")))
     return out
 
 

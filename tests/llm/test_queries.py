@@ -68,6 +68,23 @@ def test_licenses(spark, sf, docs):
         assert set(filter(None, base.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_mixing_repeated_rows(spark):
+    """Equal rows are drawn each for itself: the words of the mix are the targets' words."""
+    from pyspark.sql import functions as F
+
+    rows_ = [(i, f"w{i} " * 50, "a") for i in range(20)] + [(100, "x " * 400, "b")] * 5 + [(1, "q " * 7, None)] * 200
+    d = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    goal, x, drawn = mixing.plan(mixing.sizes(d))
+    want = {r.source: r.target for r in goal.collect()}
+    taken = {r[0]: r[1] for r in mixing.takes(x, drawn).join(x.select("doc_id", "row_hash", "copy", "source"), ["doc_id", "row_hash", "copy"]).groupBy("source").agg(F.sum("words")).collect()}
+    mix = {r[0]: r[1] for r in mixing.mixed(d).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).collect()}
+    assert set(want) == set(taken) == set(mix)
+    assert all(abs(taken[s] - want[s]) <= 1 and mix[s] == taken[s] for s in want)
+    # shards draw disjoint places, each source's all of them
+    places = sorted((r.sid, r.place) for r in drawn.collect())
+    assert len(set(places)) == len(places) and all(p == 0 or (s, p - 1) in set(places) for s, p in places)
+
+
 def test_diagonals_find_and_merge(spark):
     mit = next(t for k, kind, t in licenses.TEMPLATES if k == "mit" and kind == "text").split()
     changed = mit[:20] + ["inserted"] + mit[20:50] + mit[52:]
@@ -234,7 +251,20 @@ def test_language_model(spark, sf, docs):
 def test_model_does_not_depend_on_buckets(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = (train(d, n)[0] for n in (2, 512))
-    assert {k: v for k, v in a.items() if k != "buckets"} == pytest.approx({k: v for k, v in b.items() if k != "buckets"})
+    assert {k: v for k, v in a.items() if k not in ("buckets", "stored")} == pytest.approx({k: v for k, v in b.items() if k not in ("buckets", "stored")})
+
+
+def test_lost_model_file_is_an_error(spark, sf):
+    from lexforge.llm.kneser_ney import _local, scores
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    totals, folder = train(d, 4)
+    os.remove(f"{folder}/pairs/1")
+    with pytest.raises(Exception, match="No such file"):
+        scores(d, totals, folder).collect()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./x", "file:///tmp")
+    with pytest.raises(ValueError):
+        _local(spark, "viewfs://store/x")
 
 
 def test_pages(spark, sf):
@@ -251,3 +281,26 @@ def test_extract_edges():
     assert html_cut.extract(None) == html_cut.extract("") == html_cut.extract("<p>") == html_cut.extract("<script>x</script") == ""
     page = "<body><nav>Home</nav><main><p>One &amp; two\n three. Four &lt;b&gt; five words here.<!-- x --><br>More of it.<div class=ad>Buy now</div><p>Yes.</main><section id=comments><article class=comment><p>I think that this is a very long comment on it.</article></section>"
     assert html_cut.extract(page) == "One & two three. Four <b> five words here. More of it.\n\nYes."
+
+
+def test_extract_keeps_what_is_not_listed():
+    long = "This sentence of the article has enough words to be seen as one, and it ends well."
+    page = f"<body><nav>Home</nav><article><p>We have <math><mi>x</mi></math> as known. {long}</p><div class='text related-work'><p>{long}</p></div><svg><text>t</text></svg><video><p>{long}</video></article><footer>f</footer>"
+    assert html_cut.extract(page) == f"We have x as known. {long}\n\n{long}\n\n{long}"
+    assert html_cut.extract(f"<body><main><p>{long}<svg><p>{long}</main>") == f"{long}\n\n{long}"
+
+
+def test_extract_without_article():
+    """Only words, links and neighbours say what is content."""
+    text = [f"Paragraph {i} tells of things that happened in the town, and of people who were there at the time." for i in range(4)]
+    menu = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(9))
+    page = f"<body><div><ul>{menu}</ul></div><div>" + "".join(f"<p>{t}</p>" for t in text) + "</div><div><p>© 2024 Some Corp. All rights reserved</p></div>"
+    assert html_cut.extract(page) == "\n\n".join(text)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    html_cut.extract("<div>" * 8000 + "<header>x</header>" * 8000)
+    assert time.process_time() - began < 5
