@@ -145,3 +145,18 @@ def chacha20(text: Column, key: bytes, nonce: bytes) -> Column:
         return pa.array([None if r is None else base64.b64encode((np.frombuffer(r, np.uint8) ^ stream[: len(r)]).tobytes()).decode() for r in raw], pa.string())
 
     return run(text)
+
+
+#: Ciphers by name: functions of a text column, a seed and a key length (ChaCha20 has none), that encipher it.
+CIPHERS = {
+    "poly": lambda text, seed=1234, key_length=0: poly(text, key_length, seed),
+    "mono": lambda text, seed=1234, key_length=1: poly(text, 1, seed),
+    "chacha20": lambda text, seed=1234, key_length=0: chacha20(text, seeded_bytes(seed, 32), seeded_bytes(seed, 8)),
+    "none": lambda text, seed=1234, key_length=0: text,
+}
+
+
+def encipher(name: str, text: Column, seed: int = 1234, key_length: int = 0) -> Column:
+    if name not in CIPHERS:
+        raise ValueError(f"no cipher {name!r}; there are {', '.join(CIPHERS)}")
+    return CIPHERS[name](text, seed, key_length)

@@ -103,3 +103,19 @@ def normalizer(form: str = "NFKC"):
         return pa.array([fix(x) for x in text.to_pylist()], pa.string())
 
     return normalize
+
+
+def guarded(change):
+    """A column function of a Python function of one text, an Arrow batch at a time; a text on which it raises becomes null."""
+
+    def one(x):
+        try:
+            return None if x is None else change(x)
+        except Exception:  # noqa: BLE001  whatever it is, one text must not end the job
+            return None
+
+    @F.arrow_udf("string")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([one(x) for x in text.to_pylist()], pa.string())
+
+    return run

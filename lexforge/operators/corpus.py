@@ -132,3 +132,16 @@ def rendered_chats(turns: DataFrame, roles: dict[str, str] | None = None) -> Dat
         mark = F.when(F.col("role") == role, m).otherwise(mark)
     d = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(mark, F.coalesce("text", F.lit(""))).alias("text")))).alias("t"))  # one conversation
     return d.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))
+
+
+def differing_ids(docs: DataFrame, one: str, two: str) -> DataFrame:
+    """doc_id, ids_one, ids_two of the texts to which two tokenizer files give different ids; none if they are equivalent on ``docs``."""
+    a, b = (tokenised_by_file(docs, path, EOD, ("doc_id", "text")).withColumnRenamed("token_ids", name) for path, name in ((one, "ids_one"), (two, "ids_two")))
+    other = b.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "ids_two")
+    return a.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text").eqNullSafe(F.col("_text"))).where("ids_one <> ids_two").select("doc_id", "ids_one", "ids_two").distinct()
+
+
+def sampled_sentences(docs: DataFrame, n: int = 3_000_000, seed: int = 1234, most_bytes: int = 4192) -> DataFrame:
+    """At most ``n`` of the documents that a trainer takes, by the smallest seeded hashes; each task keeps n."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"))
+    return training_sentences(docs, most_bytes).orderBy(key, "doc_id").limit(n)

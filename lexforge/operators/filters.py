@@ -18,11 +18,15 @@ from ..functions import text as t
 
 @dataclass(frozen=True)
 class Step:
-    """``change``: text to text, or ``reject``: text to boolean (null counts as false)."""
+    """``change``: text to text, or ``reject``: text to boolean (null counts as false).
+
+    ``may_fail``: a change that gives null for a text it cannot take (``text.guarded``); the document is rejected, others go on.
+    """
 
     name: str
     change: Callable[[Column], Column] | None = None
     reject: Callable[[Column], Column] | None = None
+    may_fail: bool = False
 
 
 class Chain:
@@ -33,13 +37,21 @@ class Chain:
         self.steps, self.text_column = steps, text_column
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with the changed text, reject_reason (null: accepted) and is_rejected."""
+        """``docs`` with the changed text, reject_reason (null: accepted) and is_rejected.
+
+        A row whose ``_corrupt_record`` is set, as ``files.jsonl(keep_bad=True)`` does, is rejected before all steps.
+        """
         c = self.text_column
-        d = docs.withColumn("reject_reason", F.lit(None).cast("string"))
+        reason = F.when(F.col("_corrupt_record").isNotNull(), BAD_JSON) if "_corrupt_record" in docs.columns else F.lit(None).cast("string")
+        d = docs.withColumn("reject_reason", reason)
         for s in self.steps:
             accepted = F.col("reject_reason").isNull()
             if s.change:
-                d = d.withColumn(c, F.when(accepted, s.change(F.col(c))).otherwise(F.col(c)))
+                d = d.withColumn("_changed", F.when(accepted, s.change(F.col(c))))
+                if s.may_fail:  # text that a change turns to nothing has failed, and is kept as it was
+                    d = d.withColumn("reject_reason", F.when(accepted & F.col(c).isNotNull() & F.col("_changed").isNull(), F.lit(ERROR)).otherwise(F.col("reject_reason")))
+                    accepted = F.col("reject_reason").isNull()
+                d = d.withColumn(c, F.when(accepted, F.col("_changed")).otherwise(F.col(c))).drop("_changed")
             if s.reject:
                 d = d.withColumn("reject_reason", F.when(accepted & s.reject(F.col(c)), F.lit(s.name)).otherwise(F.col("reject_reason")))
         return d.withColumn("is_rejected", F.col("reject_reason").isNotNull())
@@ -67,13 +79,24 @@ def normalize(form: str = "NFKC") -> Step:
     return Step(f"normalize_{form.lower()}", change=t.normalizer(form))
 
 
-def oneword_lines() -> Step:
-    return Step("oneword_lines", change=lambda c: F.array_join(t.drop_oneword(t.lines(c)), "\n"))
+def tokens(name: str, keep: Callable[[Column], Column], split: Callable[[Column], Column] = t.words, join: str = " ") -> Step:
+    """A token filter of one's own: ``split`` gives the tokens, ``keep`` says of one whether it stays, ``join`` stands between."""
+    return Step(name, change=lambda c: F.array_join(F.filter(split(c), keep), join))
+
+
+def oneword_lines(words: Callable[[Column], Column] = t.words) -> Step:
+    """Drops lines of fewer than two words, as ``words`` cuts them; ``text.script_words`` suits text without blanks."""
+    count = t.word_count if words is t.words else lambda line: F.size(words(line))
+    return tokens("oneword_lines", lambda line: count(line) > 1, t.lines, "\n")
+
+
+def dates(words: Callable[[Column], Column] = t.words, join: str = " ", pattern: str = t.DATE) -> Step:
+    """Drops tokens that begin with ``pattern``; ``join`` '' gives text without any white space, as suits Japanese."""
+    return tokens("dates", lambda token: ~token.rlike(pattern), words, join)
 
 
-def dates(words: Callable[[Column], Column] = t.words, join: str = " ") -> Step:
-    """Drops date tokens; ``join`` '' gives text without any white space, as suits Japanese."""
-    return Step("dates", change=lambda c: F.array_join(t.drop_dates(words(c)), join))
+#: Reasons of rejection that are not a step's own.
+BAD_JSON, ERROR = "json", "error"
 
 
 def mask_pii() -> Step:

@@ -128,6 +128,7 @@ def test_sinks(spark, tmp_path):
     sinks.tokens(d.limit(1), f"{p}/tok")
     assert spark.read.parquet(f"{p}/tok").count() == 3
     sinks.tsv(d, f"{p}/tsv")
+    assert sorted(map(tuple, spark.read.csv(f"{p}/tsv", sep="\t", schema="a int, b string, c string").collect()), key=str) == [(1, "a", "s"), (2, None, "s"), (3, "c", "t")]
     sinks.merged(d, f"{p}/one")
     sinks.statistics(d.groupBy("source").count(), f"{p}/stats")
     assert spark.read.json(f"{p}/one").count() == 3 and spark.read.json(f"{p}/stats").count() == 2
@@ -151,3 +152,46 @@ def test_empty_tables(spark):
     assert dedup.near_copies(d).count() == dedup.exact_copies(d).count() == split.by_ranges(d.select("doc_id")).count() == 0
     assert corpus.packed(corpus.tokenised(d, [])).count() == 0
     assert d.select(t.sentences(F.col("text"))).count() == 0
+
+
+def test_errors_and_bad_json_are_reasons(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"text": "good one"}\n{"text": "bad"\n{"text": "fails"}\n{"text": null}\n')
+
+    def change(x):
+        if x == "fails":
+            raise RuntimeError
+        return x.upper()
+
+    chain = filters.Chain([filters.Step("upper", change=t.guarded(change), may_fail=True), filters.nonempty()])
+    out = chain.apply(files.jsonl(spark, str(tmp_path), keep_bad=True)).select("text", "reject_reason").collect()
+    assert sorted(map(tuple, out), key=str) == sorted([("GOOD ONE", None), (None, "json"), ("fails", "error"), (None, "empty")], key=str)
+
+
+def test_token_filters_of_ones_own(spark):
+    d = spark.createDataFrame([(1, "漢字かな\n漢字\none two\nword"), (2, "3x 4 a")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in filters.Chain([filters.oneword_lines(t.script_words)]).apply(d).collect()}
+    assert got[1] == "漢字かな\none two"
+    got = {r.doc_id: r.text for r in filters.Chain([filters.dates(pattern=r"^\d"), filters.tokens("short", lambda x: F.length(x) < 2)]).apply(d).collect()}
+    assert got[2] == "a"
+
+
+def test_encipher_job_keeps_keys(spark, tmp_path):
+    from lexforge.functions import cipher
+
+    rows = [{"id": 1, "text": "Hello é漢", "meta": {"a": [1, 2]}}, {"text": "x", "url": None}, {"title": "no text"}]
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows))
+    sinks.enciphered_jsonl(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out"), "poly", 7, 100)
+    out = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    back = spark.createDataFrame([(r["text"],) for r in out], "text string").select(cipher.unpoly(F.col("text"), 100, 7).alias("x"))
+    assert [{**r, "text": b.x} for r, b in zip(out, back.collect(), strict=True)] == rows[:2] and list(out[0]) == ["id", "text", "meta"]
+    with pytest.raises(ValueError):
+        cipher.encipher("rot13", F.col("text"))
+
+
+def test_tokenizer_equivalence(spark):
+    P = pytest.importorskip("public_tokenizers")
+    d = spark.createDataFrame([(1, "Hello  world"), (2, "")], "doc_id long, text string")
+    a, b = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
+    assert corpus.differing_ids(d, a, a).count() == 0
+    assert {r.doc_id for r in corpus.differing_ids(d, a, b).collect()} == {1}
+    assert corpus.sampled_sentences(d, 5).count() == 1
