@@ -1,29 +1,24 @@
-"""Op 10, LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, mapped by workers.
+"""Op 10, LM scoring: an interpolated modified Kneser-Ney trigram model, counted in Spark, mapped by workers.
 
 Counting
-    Words become 64-bit hashes (A-Z lower-cased). Each batch of texts is reduced to its distinct bigrams with
-    counts, sorted, and cut by the bucket of the first word's hash; one row carries the run of one bucket. The
-    runs of a bucket meet in one task, which merges them. A hot first word (the bigrams of one word are at most
-    as many as the distinct words) is pre-aggregated in each batch, so that a bucket grows with the distinct
-    bigrams, not with the rows of a word. From merged bigrams follow, again by bucket, the continuation counts of
-    second words; one row of totals by word meets the same way.
+    Words become 48-bit codes of their hash (A-Z lower-cased). Each batch of texts is reduced to its trigrams u v w with
+    counts and cut by the bucket of the middle word v; one row carries the run of one bucket. The runs of a bucket meet in one
+    task, which merges them: it has all w after u v, all u before v w, and all pairs v w, so that trigrams, their contexts and the
+    continuation counts of bigrams need one shuffle of trigrams. A hot middle word is pre-aggregated in each batch, so that a
+    bucket grows with its distinct trigrams, not with the rows of a word. Continuation counts of words meet by bucket of w.
 
 Model
-    p(w|v) = max(c(vw) - D(c), 0) / c(v) + g(v) p1(w), p1(w) = max(N(w) - D1(N), 0) / N + g1 / (V + 1), where N(w) counts
-    the distinct words before w, and D, D1 are the discounts for counts 1, 2, 3 and more after Chen and Goodman.
-    A text begins after the end token. An unknown word has g1 / (V + 1). The probabilities of all words and "unknown"
-    add up to 1 after every word.
+    p(w|uv) = max(c(uvw) - D3(c), 0) / c(uv) + g(uv) p(w|v), p(w|v) = max(N(vw) - D2(N), 0) / N(v) + g(v) p(w),
+    p(w) = max(N(w) - D1(N), 0) / N + g / (V + 1), where N(vw) counts the distinct words before v w (c(vw) where v begins a text), N(w) those
+    before w, and the D are the discounts for counts 1, 2, 3 and more after Chen and Goodman. A text begins after two end
+    tokens. An unknown word has g / (V + 1). The probabilities of all words and "unknown" add up to 1 in every context.
 
 Storage
-    For each bucket a sorted array of 64-bit bigram hashes with float32 probabilities, and one of words, as files in the
-    shared folder; workers map them, so that folder has to be mounted on all executors (an error says so before any work
-    if it is not). A worker that does not find a file of the model fails; nothing is scored with a part of it. A hash that two
-    bigrams share is the model's error bound: n * n / 2**65 of n bigrams.
-
-Why order 2: 0.51 GB of documents (864 MB of text, 135 M words) hold 48.6 M distinct bigrams and 89.5 M distinct trigrams, as counted. Runs
-    and arrays of the bigrams take 2.9 times the input on disk, as the check tool measures it. Trigrams are 1.84 times as many,
-    in runs that hardly shrink (89.5 of 135 M) and carry a word more (24 bytes for 16), so they come to some 5 times the input beside
-    the bigrams that back them off; the budget is 4 times. The trigram model itself was not built.
+    For each bucket sorted arrays of hashes of trigrams, contexts, bigrams and words, as files in the shared folder: a directory
+    of the first bits, 32 bits more of each hash, and counts in 1 or 2 bytes, with the few large ones aside. A lookup of what is not
+    there hits with a chance of some 2e-9. Workers map the files, so that folder has to be mounted on all executors (an error says so before
+    any work if it is not). A worker that does not find a file of the model fails; nothing is scored with a part of it. Codes
+    that two of V words share: V * V / 2**49; in a trigram u has 40 of the bits, beside one v.
 
 Defined results: a null or empty text is the end token alone; with nothing to learn from each token has
 probability 1 (an empty table, or one of held-out rows); without rows to score the result is empty; repeated rows are learnt and
@@ -42,13 +37,15 @@ from pyspark.sql import functions as F
 from .common import buffer, crc_mod, cut, mix, pieces, scratch_path, table, tidy, word_hashes
 
 #: Least buckets of the model, and bytes of text to a bucket beyond that: a bucket is one task's work and memory.
-BUCKETS = 256
+BUCKETS = 64
 BUCKET_BYTES = 1 << 26
 #: Mapped files that a worker keeps open.
 OPEN = 4096
 #: Tokens that a task reduces at a time.
 RUN = 3_000_000
-END = np.uint64(0x2545F4914F6CDD1D)
+CODE = np.uint64((1 << 48) - 1)
+NEAR = np.uint64((1 << 40) - 1)
+END = np.uint64(0x2545F4914F6CDD1D) & CODE
 _A = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -57,56 +54,60 @@ def bucket_of(word: np.ndarray, n: int) -> np.ndarray:
 
 
 def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words and ends of the texts of a piece, and the n + 1 offsets."""
+    """Codes of words and ends of the texts of a piece, and the n + 1 offsets."""
     h, words = word_hashes(raw[at[0] : at[-1]], at - at[0])
     out = np.full(len(h) + len(at) - 1, END, np.uint64)
     n = np.diff(words)
-    out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
+    out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h & CODE
     return out, words + np.arange(len(at))
 
 
-def before(tok: np.ndarray) -> np.ndarray:
-    """The token before each; texts begin after an end."""
-    return np.concatenate([[END], tok[:-1]]) if len(tok) else tok
+def before(tok: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two tokens before each (of the farther one the low bits); texts begin after two ends."""
+    v = np.concatenate([[END], tok[:-1]]) if len(tok) else tok
+    u = np.concatenate([[END], v[:-1]]) if len(tok) else tok
+    u[cuts[:-1]] = END
+    return u & NEAR, v
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
-def merged(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs with the sum of their counts, sorted by v, then w."""
-    if not len(v):
-        return v, w, c
-    o = np.argsort(v ^ mix(w), kind="stable")  # any total order serves to bring equal pairs together
-    key = (v ^ mix(w))[o]
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1])]))
-    v, w, c = v[o][new], w[o][new], np.add.reduceat(c[o], new)
-    o = np.lexsort((w, v))
-    return v[o], w[o], c[o]
+def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
 
 
 def _runs(train: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, pairs: binary): sorted runs of bigrams, and their counts where above 1."""
+    """(bucket, grams: binary): runs of trigrams with counts."""
 
     def run(batches):
         held: list[tuple] = []
         size = 0
 
         def flush():
-            v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             b = bucket_of(v, n_buckets).astype(np.uint32)
             o = np.argsort(b, kind="stable")
             rows = _stretches(b[o])
-            v, w = v[o], w[o]
+            u, v, w = u[o], v[o], w[o]
             del b, o
-            for k in range(0, len(rows), 32):
-                some = rows[k : k + 32]
-                out = [encode(*merged(v[i:j], w[i:j], np.ones(j - i, np.int64))) for _, i, j in some]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in some], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "pairs"])
+            for k in range(0, len(rows), 8):
+                some = rows[k : k + 8]
+                out = [encode(*_gathered(u[i:j], v[i:j], w[i:j])) for _, i, j in some]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in some], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "grams"])
 
         for batch in batches:
             raw, at = buffer(batch.column(0))
             for i, j in pieces(at, 1 << 21):
-                tok, _ = tokens(raw, at[i : j + 1])
-                held.append((before(tok), tok))
+                tok, cuts = tokens(raw, at[i : j + 1])
+                held.append((*before(tok, cuts), tok))
                 size += len(tok)
                 if size > RUN:
                     yield from flush()
@@ -114,7 +115,7 @@ def _runs(train: DataFrame, n_buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return train.select("text").mapInArrow(tidy(run), "bucket int, pairs binary")
+    return train.select("text").mapInArrow(tidy(run), "bucket int, grams binary")
 
 
 def _stretches(b: np.ndarray) -> list[tuple[int, int, int]]:
@@ -123,48 +124,116 @@ def _stretches(b: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(b[new].tolist(), new.tolist(), [*new[1:].tolist(), len(b)], strict=True)) if len(b) else []
 
 
-def encode(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    """Pairs sorted by v: distinct v with how many each has, the w, and the counts above 1."""
-    new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    some = np.flatnonzero(c > 1)
-    head = np.array([len(new), len(w), len(some)], "<i8")
-    return b"".join([head.tobytes(), v[new].tobytes(), np.diff(np.append(new, len(v))).astype("<u4").tobytes(), w.tobytes(), some.astype("<u4").tobytes(), c[some].astype("<u4").tobytes()])
+def _gathered(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Trigrams with counts, by v, then u. Few bits decide the order, so that one may come twice; the merge is exact."""
+    key = (mix(v) >> np.uint64(44) << np.uint64(44)) | (mix(u) >> np.uint64(42) << np.uint64(22)) | (mix(w) >> np.uint64(42))
+    o = np.argsort(key)
+    u, v, w = u[o], v[o], w[o]
+    new = _starts(v, u, w)
+    return u[new], v[new], w[new], _sizes(new, len(u))
 
 
-def decode(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, n, k = np.frombuffer(x, "<i8", 3)
-    p = 24
-    v = np.repeat(np.frombuffer(x, np.uint64, a, p), np.frombuffer(x, "<u4", a, p + 8 * a))
-    p += 12 * a
-    w = np.frombuffer(x, np.uint64, n, p)
-    c = np.ones(n, np.int64)
-    p += 8 * n
-    c[np.frombuffer(x, "<u4", k, p)] = np.frombuffer(x, "<u4", k, p + 4 * k)
-    return v, w, c
+def _few(x: np.ndarray) -> bytes:
+    """Numbers that are mostly small: a byte each, those from 255 on aside."""
+    big = np.flatnonzero(x >= 255)
+    return b"".join([np.array([len(x), len(big)], "<i8").tobytes(), np.minimum(x, 255).astype(np.uint8).tobytes(), big.astype("<i8").tobytes(), x[big].astype("<i8").tobytes()])
 
 
-def _merge(runs: DataFrame) -> DataFrame:
-    """One row per bucket: its merged pairs, those of the counts of counts, and its distinct second words by bucket."""
+def _narrow(x: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
-    def run(t: pa.Table) -> pa.Table:
-        parts = [decode(x.as_py()) for x in t["pairs"]]
-        v, w, c = merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return pa.table({"bucket": pa.array(t["bucket"][:1].combine_chunks()), "pairs": pa.array([encode(v, w, c)], pa.binary()), "counts": pa.array([np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()], pa.list_(pa.int64())), "n": pa.array([int(c.sum())], pa.int64())})
 
-    return runs.groupBy("bucket").applyInArrow(run, "bucket int, pairs binary, counts array<long>, n long")
+class _Reader:
+    def __init__(self, body: bytes):
+        self.body, self.place = body, 0
+
+    def take(self, kind, n: int) -> np.ndarray:
+        x = np.frombuffer(self.body, kind, n, self.place)
+        self.place += x.nbytes
+        return x
+
+    def few(self) -> np.ndarray:
+        n, k = self.take("<i8", 2).tolist()
+        x = self.take(np.uint8, n).astype(np.int64)
+        big = self.take("<i8", k)
+        x[big] = self.take("<i8", k)
+        return x
+
+    def wide(self, n: int, width: int) -> np.ndarray:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = self.take(np.uint8, n * width).reshape(n, width)
+        return x.view("<u8").ravel()
+
 
+def encode(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+    """Trigrams by v, then u: stretches of v with their numbers of u, those with their numbers of w."""
+    context, first = _starts(v, u), _starts(v)
+    per = _sizes(np.searchsorted(context, first), len(context))
+    return b"".join([np.array([len(first), len(context), len(w)], "<i8").tobytes(), _narrow(v[first], 6), _few(per), _narrow(u[context], 5), _few(_sizes(context, len(w))), _narrow(w, 6), _few(c)])
 
-def _second_words(pairs: DataFrame, n_buckets: int) -> DataFrame:
+
+def decode(body: bytes) -> tuple[np.ndarray, ...]:
+    r = _Reader(body)
+    a, b, n = r.take("<i8", 3).tolist()
+    v = r.wide(a, 6)
+    v = np.repeat(v, r.few())
+    u = r.wide(b, 5)
+    per = r.few()
+    return np.repeat(u, per), np.repeat(v, per), r.wide(n, 6), r.few()
+
+
+def _count(runs: DataFrame, here: str) -> DataFrame:
+    """Merges the runs of each bucket and stores its arrays of counts. One row per bucket: its second words, counts of counts."""
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket = t["bucket"][0].as_py()
+        u, v, w, c = (np.concatenate(x) for x in zip(*[decode(x.as_py()) for x in t["grams"]], strict=True))
+        o = np.lexsort((w, u, v))
+        u, v, w, c = u[o], v[o], w[o], c[o]
+        new = _starts(v, u, w)
+        u, v, w, c = u[new], v[new], w[new], np.add.reduceat(c, new)
+        three = np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()
+        _write(f"{here}/tri", bucket, counted(gram_hash(u, v, w), c))
+        new = _starts(v, u)
+        _write(f"{here}/ctx", bucket, summed(pair_hash(u[new], v[new]), c, new))
+        tokens_ = int(c.sum())
+        o = np.lexsort((w, v))
+        v, w, c = v[o], w[o], c[o]
+        new = _starts(v, w)
+        kinds, c = _sizes(new, len(v)), np.add.reduceat(c, new)
+        v, w = v[new], w[new]
+        kinds = np.where(v == END, c, kinds)
+        two = np.bincount(np.minimum(kinds, 5), minlength=6)[1:5].tolist()
+        _write(f"{here}/bi", bucket, counted(pair_hash(v, w), kinds))
+        new = _starts(v)
+        _write(f"{here}/first", bucket, summed(mix(v[new]), kinds, new))
+        o = np.argsort(w, kind="stable")
+        w, c = w[o], c[o]
+        new = _starts(w)
+        words = b"".join([np.array([len(new)], "<i8").tobytes(), _narrow(w[new], 6), _few(_sizes(new, len(w))), _few(np.add.reduceat(c, new))])
+        return pa.table({"bucket": t["bucket"][:1].combine_chunks(), "words": pa.array([words], pa.binary()), "three": pa.array([three], pa.list_(pa.int64())), "two": pa.array([two], pa.list_(pa.int64())), "n": pa.array([tokens_], pa.int64())})
+
+    return runs.groupBy("bucket").applyInArrow(run, "bucket int, words binary, three array<long>, two array<long>, n long")
+
+
+def _write(folder: str, bucket: int, body: bytes) -> None:
+    """Written aside and renamed: a task that runs again finds all or nothing."""
+    os.makedirs(folder, exist_ok=True)
+    own = f"{folder}/.{bucket}-{os.uname().nodename}-{os.getpid()}"
+    with open(own, "wb") as f:
+        f.write(body)
+    os.replace(own, f"{folder}/{bucket}")
+
+
+def _second_words(counted_: DataFrame, n_buckets: int) -> DataFrame:
     """(bucket, words): by bucket of the second word, each with its distinct first words and its count."""
 
     def run(batches):
         for batch in batches:
             for x in batch.column(0):
-                _, w, c = decode(x.as_py())
-                o = np.argsort(w, kind="stable")
-                w, c = w[o], c[o]
-                new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                kinds, total, w = np.diff(np.append(new, len(w))), np.add.reduceat(c, new), w[new]
+                r = _Reader(x.as_py())
+                w = r.wide(int(r.take("<i8", 1)[0]), 6)
+                kinds, total = r.few(), r.few()
                 b = bucket_of(w, n_buckets)
                 o = np.argsort(b, kind="stable")
                 w, kinds, total = w[o], kinds[o], total[o]
@@ -172,7 +241,7 @@ def _second_words(pairs: DataFrame, n_buckets: int) -> DataFrame:
                 out = [np.concatenate([w[i:j].view(np.int64), kinds[i:j], total[i:j]]).tobytes() for _, i, j in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "words"])
 
-    return pairs.select("pairs").mapInArrow(tidy(run), "bucket int, words binary")
+    return counted_.select("words").mapInArrow(tidy(run), "bucket int, words binary")
 
 
 def _words(parts: DataFrame) -> DataFrame:
@@ -206,22 +275,120 @@ def _discount(c: np.ndarray, d: list[float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
+def gram_hash(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return pair_hash(pair_hash(u, v), w)
+
+
+def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(v * np.uint64(0xFF51AFD7ED558CCD) + mix(w))
+
+
+def _stored(h: np.ndarray, code: np.ndarray, odd: np.ndarray, values: list[np.ndarray]) -> bytes:
+    """A sorted array of hashes with a code each; the values of the ``odd`` ones stand aside."""
+    o = np.argsort(h)
+    h, odd = h[o], np.flatnonzero(odd[o])
+    bits = max(1, len(h).bit_length() - 4)
+    edge = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype("<u4")
+    head = np.array([len(h), bits, code.itemsize, len(odd), len(values)], "<i8")
+    return b"".join([head.tobytes(), edge.tobytes(), (h << np.uint64(bits) >> np.uint64(32)).astype("<u4").tobytes(), code[o].tobytes(), odd.astype("<u4").tobytes(), *[v[o][odd].astype("<i8").tobytes() for v in values]])
+
+
+def counted(h: np.ndarray, c: np.ndarray) -> bytes:
+    return _stored(h, np.minimum(c, 255).astype(np.uint8), c >= 255, [c])
+
+
+#: Least numbers, by count (1, 2, 3 and more) and of what counts have above 3, that do not fit into a context's code.
+FIT = 32, 8, 8, 31
+
+
+def summed(h: np.ndarray, c: np.ndarray, starts: np.ndarray) -> bytes:
+    """Contexts: how many things follow them once, twice, more often, and what the last have above 3 each."""
+    n = [np.add.reduceat((c == 1).astype(np.int64), starts), np.add.reduceat((c == 2).astype(np.int64), starts), np.add.reduceat((c >= 3).astype(np.int64), starts), np.add.reduceat(np.maximum(c - 3, 0), starts)]
+    odd = np.zeros(len(h), bool)
+    code = np.zeros(len(h), np.int64)
+    for x, k in zip(n, FIT, strict=True):
+        odd |= x >= k
+        code = code * k + np.minimum(x, k - 1)
+    return _stored(h, code.astype("<u2"), odd, n)
+
+
+class Lookup:
+    """What ``_stored`` made, mapped from a file."""
+
+    def __init__(self, path: str):
+        body = np.memmap(path, np.uint8, "r")
+        self.n, self.bits, size, odd, values = np.frombuffer(body, "<i8", 5).tolist()
+        place = 40
+        parts = []
+        for kind, n in (("<u4", (1 << self.bits) + 1), ("<u4", self.n), (f"<u{size}", self.n), ("<u4", odd), *[("<i8", odd)] * values):
+            parts.append(np.frombuffer(body, kind, n, place))
+            place += parts[-1].nbytes
+        self.edge, self.rest, self.code, self.odd, *self.values = parts
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of those hashes that are there, and which they are."""
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        want = (h << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32)
+        low, end = self.edge[slot].astype(np.int64), self.edge[slot + 1].astype(np.int64)
+        high = end.copy()
+        for _ in range(int((high - low).max(initial=0)).bit_length()):
+            mid = np.minimum((low + high) >> 1, self.n - 1)
+            less = (self.rest[mid] < want) & (low < high)
+            high = np.where(less, high, mid.clip(low, high))
+            low = np.where(less, mid + 1, low)
+        there = np.flatnonzero(low < end)
+        there = there[self.rest[low[there]] == want[there]]
+        return low[there], there
+
+    def aside(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some places stand aside, and where."""
+        if not len(self.odd):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(self.odd, at), len(self.odd) - 1)
+        hit = np.flatnonzero(self.odd[k] == at)
+        return hit, k[hit]
+
+    def counts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, there = self.find(h)
+        c = self.code[at].astype(np.int64)
+        hit, k = self.aside(at)
+        c[hit] = self.values[0][k]
+        return c, there
+
+    def sums(self, h: np.ndarray, d: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Total and left-over weight of contexts that are there, and which they are."""
+        at, there = self.find(h)
+        code, n = self.code[at].astype(np.int64), []
+        for k in FIT[::-1]:
+            n.insert(0, code % k)
+            code //= k
+        hit, k = self.aside(at)
+        for x, values in zip(n, self.values, strict=True):
+            x[hit] = values[k]
+        total = n[0] + 2 * n[1] + 3 * n[2] + n[3]
+        return total, (n[0] * d[0] + n[1] * d[1] + n[2] * d[2]) / total, there
+
+
 class Model:
     """What scores a bucket's tokens: sorted arrays, mapped from files."""
 
     def __init__(self, totals: dict, folder: str):
-        self.totals, self.folder, self.files = totals, folder, {}
-        self.stored = np.unpackbits(np.frombuffer(totals["stored"], np.uint8))
+        self.folder, self.files = folder, {}
+        self.has = {k: np.unpackbits(np.frombuffer(totals[k], np.uint8)) for k in ("grams", "words")}
 
-    def array(self, name: str, bucket: int) -> np.ndarray:
+    def _open(self, name: str, bucket: int, kind):
         if (name, bucket) not in self.files:
             if len(self.files) >= OPEN:
                 self.files.clear()
-            path = f"{self.folder}/{name}/{bucket}"  # of a stored bucket all files exist, empty or not
-            there = self.stored[bucket] and os.path.getsize(path)
-            self.files[name, bucket] = np.memmap(path, np.uint8, "r") if there else np.zeros(0, np.uint8)
+            self.files[name, bucket] = kind(f"{self.folder}/{name}/{bucket}")
         return self.files[name, bucket]
 
+    def look(self, name: str, bucket: int) -> Lookup | None:
+        return self._open(name, bucket, Lookup) if self.has["grams"][bucket] else None
+
+    def words(self, bucket: int) -> np.ndarray:
+        return self._open("words", bucket, lambda p: np.memmap(p, np.uint8, "r")) if self.has["words"][bucket] else np.zeros(0, np.uint8)
+
 
 def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each wanted key among the sorted ones, and whether it is there."""
@@ -231,29 +398,6 @@ def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * np.uint64(0xFF51AFD7ED558CCD) + mix(w))
-
-
-def bigram_arrays(x: bytes, d: list[float]) -> tuple[bytes, bytes]:
-    """(hashes and discounted probabilities of pairs, hashes and left-over weights of first words), each sorted."""
-    v, w, c = decode(x)
-    new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    size = np.diff(np.append(new, len(v)))
-    taken = np.minimum(_discount(c, d), c)
-    total = np.add.reduceat(c, new)
-    p = ((c - taken) / np.repeat(total, size)).astype("<f4")
-    rest = (np.add.reduceat(taken, new) / total).astype("<f4")
-    h = pair_hash(v, w)
-    o = np.argsort(h)
-    return h[o].tobytes() + p[o].tobytes(), v[new].tobytes() + rest.tobytes()
-
-
-def _arrays(raw: np.ndarray, per: int) -> tuple[np.ndarray, ...]:
-    n = len(raw) // per
-    return raw[: 8 * n].view(np.uint64), raw[8 * n :]
-
-
 def _local(spark: SparkSession, path: str) -> str:
     """``path`` as the executors' file systems have it; an error if Hadoop resolves it to another store."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -270,15 +414,16 @@ def train(docs: DataFrame, n_buckets: int | None = None) -> tuple[dict, str]:
         n_buckets = BUCKETS << max(0, -(-size // (BUCKETS * BUCKET_BYTES)) - 1).bit_length()
     spark = docs.sparkSession
     here = _local(spark, scratch_path(spark, "kn"))
-    pairs = cut(_merge(_runs(docs, n_buckets)), "kn-pairs")
-    words = cut(_words(_second_words(pairs, n_buckets)), "kn-words")
-    add = lambda df: df.agg(*[F.sum(F.col("counts")[k]).alias(f"c{k}") for k in range(4)], F.sum("n").alias("n")).first()
-    a, b = add(pairs), add(words)
-    d2, d1 = discounts([a[k] or 0 for k in range(4)]), discounts([b[k] or 0 for k in range(4)])
-    # sum over words of distinct first words = distinct pairs; the discounts taken, by their number
+    grams = cut(_count(_runs(docs, n_buckets), here), "kn-grams")
+    words = cut(_words(_second_words(grams, n_buckets)), "kn-words")
+    add = lambda df, name: [x or 0 for x in df.agg(*[F.sum(F.col(name)[k]) for k in range(4)], F.sum("n")).first()]
+    *three, n_tokens = add(grams, "three")
+    *two, _ = add(grams, "two")
+    *one, v = add(words, "counts")
+    d1 = discounts(one)
     kinds = words.select("words")
 
-    def sums(batches):
+    def sums(batches):  # distinct pairs, and the discounts taken, by the distinct first words of a word
         for batch in batches:
             n, taken = 0, 0.0
             for x in batch.column(0):
@@ -287,32 +432,23 @@ def train(docs: DataFrame, n_buckets: int | None = None) -> tuple[dict, str]:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([taken])], names=["n", "taken"])
 
     s = kinds.mapInArrow(tidy(sums), "n long, taken double").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken")).first()
-    n, v = s["n"] or 0, b["n"] or 0
-    totals = {"tokens": a["n"] or 0, "words": v, "pairs": n, "unknown": (s["taken"] or 0.0) / n / (v + 1) if n else 1.0, "buckets": n_buckets}
+    n = s["n"] or 0
+    totals = {"tokens": n_tokens, "words_known": v, "pairs": n, "unknown": (s["taken"] or 0.0) / n / (v + 1) if n else 1.0, "buckets": n_buckets, "d3": discounts(three), "d2": discounts(two)}
 
     def store(batches):
         for batch in batches:
-            for key, p, w in zip(*batch.columns, strict=True):
-                files = {"pairs": b"", "first": b"", "words": b""}
-                if p.as_py() is not None:
-                    files["pairs"], files["first"] = bigram_arrays(p.as_py(), d2)
-                if w.as_py() is not None:
-                    h, k, c = np.frombuffer(w.as_py(), np.int64).reshape(3, -1)
-                    p1 = (np.maximum(k - _discount(k, d1), 0) / n + totals["unknown"]).astype("<f4")
-                    files["words"] = h.tobytes() + p1.tobytes() + c.astype("<u8").tobytes()
-                for name, body in files.items():  # written aside and renamed: a task that runs again finds all or nothing
-                    os.makedirs(f"{here}/{name}", exist_ok=True)
-                    own = f"{here}/{name}/.{key.as_py()}-{os.uname().nodename}-{os.getpid()}"
-                    with open(own, "wb") as f:
-                        f.write(body)
-                    os.replace(own, f"{here}/{name}/{key.as_py()}")
+            for key, w in zip(*batch.columns, strict=True):
+                h, k, c = np.frombuffer(w.as_py(), np.int64).reshape(3, -1)
+                p1 = (np.maximum(k - _discount(k, d1), 0) / n + totals["unknown"]).astype("<f4")
+                _write(f"{here}/words", key.as_py(), h.tobytes() + p1.tobytes() + c.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["bucket"])
 
-    both = pairs.select("bucket", "pairs").join(words.select("bucket", "words"), "bucket", "full").select("bucket", "pairs", "words")
-    made = both.mapInArrow(tidy(store), "bucket int").toArrow()["bucket"].to_numpy()  # a number for each bucket
-    stored = np.zeros(n_buckets, np.uint8)
-    stored[made] = 1
-    return {**totals, "stored": np.packbits(stored).tobytes()}, here
+    made = {"grams": grams.select("bucket"), "words": words.select("bucket", "words").mapInArrow(tidy(store), "bucket int")}
+    for name, df in made.items():
+        there = np.zeros(n_buckets, np.uint8)
+        there[df.toArrow()["bucket"].to_numpy()] = 1  # a number for each bucket
+        totals[name] = np.packbits(there).tobytes()
+    return totals, here
 
 
 def scores(docs: DataFrame, totals: dict, folder: str, keep: list[str] | None = None) -> DataFrame:
@@ -324,43 +460,48 @@ def scores(docs: DataFrame, totals: dict, folder: str, keep: list[str] | None =
 
     def run(batches):
         model, nb = Model(totals, folder), totals["buckets"]
-        n, v = totals["tokens"], totals["words"]
+        n, v = totals["tokens"], totals["words_known"]
         none = np.log10(0.5 / (n + 0.5 * (v + 1)))
         for batch in batches:
             raw, at = buffer(batch.column(0))
             out = [np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)]
             for i, j in pieces(at, 1 << 21):
                 tok, cuts = tokens(raw, at[i : j + 1])
-                prev = before(tok)
-                # distinct words first, then their pairs: each is looked up once in a piece
+                u, prev = before(tok, cuts)
+                # distinct words first, each looked up once in a piece
                 kinds, which = np.unique(tok, return_inverse=True)
                 p1, base, known = np.full(len(kinds), totals["unknown"]), np.full(len(kinds), none), np.zeros(len(kinds), bool)
-                rest = np.ones(len(kinds))
+                rest = np.ones(len(kinds))  # of contexts of one word
+                after = np.ones(len(kinds))
                 b = bucket_of(kinds, nb)
-                o = np.argsort(b, kind="stable")
-                for k, some in _groups(b, o):
-                    w = model.array("words", k)
+                for k, some in _groups(b, np.argsort(b, kind="stable")):
+                    w = model.words(k)
                     m = len(w) // 20
                     x, there = _look(w[: 8 * m].view(np.uint64), kinds[some])
                     some_, x = some[there], x[there]
                     p1[some_] = w[8 * m : 12 * m].view("<f4")[x]
                     base[some_] = np.log10((w[12 * m :].copy().view("<u8")[x] + 0.5) / (n + 0.5 * (v + 1)))
                     known[some_] = True
-                    f = model.array("first", k)
-                    m = len(f) // 12
-                    x, there = _look(f[: 8 * m].view(np.uint64), kinds[some])
-                    rest[some[there]] = f[8 * m :].view("<f4")[x[there]]
-                first = np.concatenate([[np.searchsorted(kinds, END)], which[:-1]]) if len(which) else which
-                p2 = np.zeros(len(tok))
-                h = pair_hash(prev, tok)
-                bt = b[first]
-                o = np.argsort(bt, kind="stable")
-                for k, some in _groups(bt, o):
-                    w = model.array("pairs", k)
-                    m = len(w) // 12
-                    x, there = _look(w[: 8 * m].view(np.uint64), h[some])
-                    p2[some[there]] = w[8 * m :].view("<f4")[x[there]]
-                logs = np.log10(p2 + rest[first] * p1[which])
+                    if table_ := model.look("first", k):
+                        total, left, there = table_.sums(mix(kinds[some]), totals["d2"])
+                        after[some[there]], rest[some[there]] = total, left
+                first = np.searchsorted(kinds, prev)
+                p = rest[first] * p1[which]
+                bt = b[first].astype(np.uint16 if nb <= 1 << 16 else np.int64)
+                three, two, context = gram_hash(u, prev, tok), pair_hash(prev, tok), pair_hash(u, prev)
+                for k, some in _groups(bt, np.argsort(bt, kind="stable")):
+                    if not (table_ := model.look("bi", k)):
+                        continue
+                    c, there = table_.counts(two[some])
+                    some_ = some[there]
+                    p[some_] += np.maximum(c - _discount(c, totals["d2"]), 0) / after[first[some_]]
+                    total, left, there = model.look("ctx", k).sums(context[some], totals["d3"])
+                    p[some[there]] *= left
+                    all_ = np.ones(len(some))
+                    all_[there] = total
+                    c, there = model.look("tri", k).counts(three[some])
+                    p[some[there]] += np.maximum(c - _discount(c, totals["d3"]), 0) / all_[there]
+                logs = np.log10(p)
                 at_ = cuts[:-1]
                 out[0][i:j] = np.diff(cuts)
                 for q, x in ((1, known[which].astype(np.int64)), (2, base[which]), (3, logs)):

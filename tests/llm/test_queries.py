@@ -216,12 +216,12 @@ def test_language_model(spark, sf, docs):
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
     c = Counter(x for i, w in tokens.items() if not held[i] for x in w)
     n, v = sum(c.values()), len(c)
-    pair = Counter(p for i, w in tokens.items() if not held[i] for p in zip([None, *w], w))
-    after, before = Counter(), Counter()
-    d = lambda k: k
-    for (a, b), k in pair.items():
-        before[b] += 1
-        after[a] += k
+    grams = Counter(g for i, w in tokens.items() if not held[i] for g in zip([None, None, *w], [None, *w], w))
+    pair, before = Counter(), Counter()
+    for (_, b, x), k in grams.items():
+        pair[b, x] += k if b is None else 1
+    for _, x in pair:
+        before[x] += 1
 
     def discounts(counts):
         m = Counter(min(k, 5) for k in counts)
@@ -229,29 +229,68 @@ def test_language_model(spark, sf, docs):
         out = [k - (k + 1) * y * m[k + 1] / m[k] for k in (1, 2, 3)]
         return [0, *[x if 0 < x < k else k / 2 for k, x in enumerate(out, 1)]]
 
-    d2, d1 = discounts(pair.values()), discounts(before.values())
+    d3, d2, d1 = discounts(grams.values()), discounts(pair.values()), discounts(before.values())
     total = sum(before.values())
-    unknown = sum(min(d1[min(k, 3)], k) for k in before.values()) / total / (v + 1)
-    rest = Counter()
-    for (a, _), k in pair.items():
-        rest[a] += d2[min(k, 3)]
-    assert d(1) == 1
+    unknown = sum(d1[min(k, 3)] for k in before.values()) / total / (v + 1)
+
+    def contexts(counts, d):
+        every, rest = Counter(), Counter()
+        for g, k in counts.items():
+            every[g[:-1]] += k
+            rest[g[:-1]] += d[min(k, 3)]
+        return every, rest
+
+    every3, rest3 = contexts(grams, d3)
+    every2, rest2 = contexts(pair, d2)
+
+    def p(g, lower, counts, every, rest, d):
+        k, n = counts[g], every[g[:-1]]
+        return (k - d[min(k, 3)]) / n * (k > 0) + rest[g[:-1]] / n * lower if n else lower
+
     for i, w in tokens.items():
         base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         score = 0.0
-        for a, b in zip([None, *w], w):
-            p1 = unknown + (max(before[b] - d1[min(before[b], 3)], 0) / total if before[b] else 0)
-            k = pair[a, b]
-            score += math.log10(((k - d2[min(k, 3)]) / after[a] if k else 0) + (rest[a] / after[a] if after[a] else 1) * p1)
+        for g in zip([None, None, *w], [None, *w], w):
+            k = before[g[2]]
+            one = unknown + ((k - d1[min(k, 3)]) / total if k else 0)
+            score += math.log10(p(g, p(g[1:], one, pair, every2, rest2, d2), grams, every3, rest3, d3))
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(c[x] > 0 for x in w), n)
         assert abs(r.base_score - base) < 1e-6 * max(1, -base) and abs(r.score - score) < 1e-4 * max(1, -score)
 
 
+def test_stored_counts_come_back():
+    """Counts and sums beyond what their codes hold, and hashes that are not there."""
+    from lexforge.llm import kneser_ney as kn
+
+    r = np.random.default_rng(1)
+    h = np.unique(r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    c = np.where(r.random(len(h)) < 0.1, r.integers(1, 1 << 40, len(h)), r.integers(1, 6, len(h)))
+    starts = np.sort(r.choice(np.arange(1, len(h)), 900, replace=False))
+    starts = np.concatenate([[0], starts])
+    d = [0.5, 1.0, 1.5]
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        for n in (1, 7, len(h)):
+            kn._write(folder, 1, kn.counted(h[:n], c[:n]))
+            got, there = kn.Lookup(f"{folder}/1").counts(np.concatenate([h, h + np.uint64(1 << 40)]))
+            assert there.tolist() == list(range(n)) and got.tolist() == c[:n].tolist()
+        kn._write(folder, 2, kn.summed(h[: len(starts)], c, starts))
+        total, rest, there = kn.Lookup(f"{folder}/2").sums(h, d)
+        ends = [*starts[1:].tolist(), len(c)]
+        assert there.tolist() == list(range(len(starts)))
+        for k, (i, j) in enumerate(zip(starts.tolist(), ends, strict=True)):
+            assert total[k] == c[i:j].sum() and abs(rest[k] - sum(d[min(x, 3) - 1] for x in c[i:j]) / c[i:j].sum()) < 1e-12
+    u, v, w = (r.integers(0, 40, 3000).astype(np.uint64) for _ in range(3))
+    assert Counter(zip(u.tolist(), v.tolist(), w.tolist())) == Counter({(a, b, x): k for a, b, x, k in zip(*(y.tolist() for y in kn.decode(kn.encode(*kn._gathered(u, v, w)))))})
+
+
 def test_model_does_not_depend_on_buckets(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = (train(d, n)[0] for n in (2, 512))
-    assert {k: v for k, v in a.items() if k not in ("buckets", "stored")} == pytest.approx({k: v for k, v in b.items() if k not in ("buckets", "stored")})
+    for name in a.keys() - {"buckets", "grams", "words"}:
+        assert a[name] == pytest.approx(b[name])
 
 
 def test_lost_model_file_is_an_error(spark, sf):
@@ -259,7 +298,7 @@ def test_lost_model_file_is_an_error(spark, sf):
 
     d = spark.read.parquet(f"{sf}/documents.parquet")
     totals, folder = train(d, 4)
-    os.remove(f"{folder}/pairs/1")
+    os.remove(f"{folder}/tri/1")
     with pytest.raises(Exception, match="No such file"):
         scores(d, totals, folder).collect()
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./x", "file:///tmp")
