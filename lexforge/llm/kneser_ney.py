@@ -4,8 +4,9 @@ Counting
     Words become 48-bit codes of their hash (A-Z lower-cased). Each batch of texts is reduced to its trigrams u v w with
     counts and cut by the bucket of the middle word v; one row carries the run of one bucket. The runs of a bucket meet in one
     task, which merges them: it has all w after u v, all u before v w, and all pairs v w, so that trigrams, their contexts and the
-    continuation counts of bigrams need one shuffle of trigrams. A hot middle word is pre-aggregated in each batch, so that a
-    bucket grows with its distinct trigrams, not with the rows of a word. Continuation counts of words meet by bucket of w.
+    continuation counts of bigrams need one shuffle of trigrams. A middle word with several buckets' share of all tokens (a head; they
+    are counted first, and at most as many as buckets) is split into parts by u; its pairs v w meet once more, by both words.
+    Which words are heads changes no result. Continuation counts of words meet by bucket of w.
 
 Model
     p(w|uv) = max(c(uvw) - D3(c), 0) / c(uv) + g(uv) p(w|v), p(w|v) = max(N(vw) - D2(N), 0) / N(v) + g(v) p(w),
@@ -38,7 +39,9 @@ from .common import buffer, crc_mod, cut, mix, pieces, scratch_path, table, tidy
 
 #: Least buckets of the model, and bytes of text to a bucket beyond that: a bucket is one task's work and memory.
 BUCKETS = 64
-BUCKET_BYTES = 1 << 26
+BUCKET_BYTES = 1 << 25
+#: Buckets' share of all tokens from which on a middle word is a head.
+HEAD = 2
 #: Mapped files that a worker keeps open.
 OPEN = 4096
 #: Tokens that a task reduces at a time.
@@ -53,6 +56,51 @@ def bucket_of(word: np.ndarray, n: int) -> np.ndarray:
     return (mix(word ^ _A) >> np.uint64(32)).astype(np.int64) % n
 
 
+class Heads:
+    """Middle words that are split by the word before them (low bits), and into how many parts."""
+
+    def __init__(self, n_buckets: int, words: np.ndarray, parts: np.ndarray):
+        o = np.argsort(words)
+        self.n, self.words, self.parts = n_buckets, words[o], parts[o]
+
+    def where(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are heads, and the number of the head."""
+        at, there = _look(self.words, v)
+        return there, at[there]
+
+    def grams(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Buckets of trigrams u v w and contexts u v."""
+        b = bucket_of(v, self.n)
+        there, at = self.where(v)
+        b[there] = bucket_of(v[there] + mix(mix(u[there]) % self.parts[at]), self.n)
+        return b
+
+    def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Buckets of pairs v w of heads v."""
+        return bucket_of(pair_hash(v, w), self.n)
+
+
+def heads_of(docs: DataFrame, n_buckets: int) -> Heads:
+    """Words with ``HEAD`` buckets' share of the tokens. A piece reports words from half that share on, so that none is missed."""
+
+    def run(batches):
+        n = 0
+        for batch in batches:
+            raw, at = buffer(batch.column(0))
+            for i, j in pieces(at, 1 << 21):
+                tok, _ = tokens(raw, at[i : j + 1])
+                n += len(tok)
+                w, c = np.unique(tok, return_counts=True)
+                often = c * n_buckets * 2 >= len(tok) * HEAD
+                yield pa.RecordBatch.from_arrays([pa.array(w[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["w", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([n], pa.int64())], names=["w", "c"])
+
+    c = cut(docs.select("text").mapInArrow(tidy(run), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "kn-heads")
+    n = c.where("w = -1").agg(F.sum("c")).first()[0] or 0
+    t = c.where((F.col("w") >= 0) & (F.col("c") * (2 * n_buckets) >= n * HEAD)).toArrow()  # at most n_buckets * 2 / HEAD
+    return Heads(n_buckets, t["w"].to_numpy().astype(np.uint64), -(-t["c"].to_numpy().astype(np.int64) * n_buckets // max(1, n)).astype(np.uint64) + np.uint64(1))
+
+
 def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of words and ends of the texts of a piece, and the n + 1 offsets."""
     h, words = word_hashes(raw[at[0] : at[-1]], at - at[0])
@@ -83,7 +131,7 @@ def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(starts, n))
 
 
-def _runs(train: DataFrame, n_buckets: int) -> DataFrame:
+def _runs(train: DataFrame, heads: Heads) -> DataFrame:
     """(bucket, grams: binary): runs of trigrams with counts."""
 
     def run(batches):
@@ -93,7 +141,7 @@ def _runs(train: DataFrame, n_buckets: int) -> DataFrame:
         def flush():
             u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            b = bucket_of(v, n_buckets).astype(np.uint32)
+            b = heads.grams(u, v).astype(np.uint32)
             o = np.argsort(b, kind="stable")
             rows = _stretches(b[o])
             u, v, w = u[o], v[o], w[o]
@@ -182,8 +230,8 @@ def decode(body: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(u, per), np.repeat(v, per), r.wide(n, 6), r.few()
 
 
-def _count(runs: DataFrame, here: str) -> DataFrame:
-    """Merges the runs of each bucket and stores its arrays of counts. One row per bucket: its second words, counts of counts."""
+def _count(runs: DataFrame, heads: Heads, here: str) -> DataFrame:
+    """Merges the runs of each bucket and stores its arrays of counts. One row per bucket: its second words, pairs of heads, counts of counts."""
 
     def run(t: pa.Table) -> pa.Table:
         bucket = t["bucket"][0].as_py()
@@ -192,7 +240,7 @@ def _count(runs: DataFrame, here: str) -> DataFrame:
         u, v, w, c = u[o], v[o], w[o], c[o]
         new = _starts(v, u, w)
         u, v, w, c = u[new], v[new], w[new], np.add.reduceat(c, new)
-        three = np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()
+        three = _often(c)
         _write(f"{here}/tri", bucket, counted(gram_hash(u, v, w), c))
         new = _starts(v, u)
         _write(f"{here}/ctx", bucket, summed(pair_hash(u[new], v[new]), c, new))
@@ -203,17 +251,60 @@ def _count(runs: DataFrame, here: str) -> DataFrame:
         kinds, c = _sizes(new, len(v)), np.add.reduceat(c, new)
         v, w = v[new], w[new]
         kinds = np.where(v == END, c, kinds)
-        two = np.bincount(np.minimum(kinds, 5), minlength=6)[1:5].tolist()
+        hot, _ = heads.where(v)
+        split = _narrow(v[hot], 6), _narrow(w[hot], 6), _few(kinds[hot]), _few(c[hot])
+        v, w, kinds, c = v[~hot], w[~hot], kinds[~hot], c[~hot]
         _write(f"{here}/bi", bucket, counted(pair_hash(v, w), kinds))
         new = _starts(v)
         _write(f"{here}/first", bucket, summed(mix(v[new]), kinds, new))
-        o = np.argsort(w, kind="stable")
-        w, c = w[o], c[o]
-        new = _starts(w)
-        words = b"".join([np.array([len(new)], "<i8").tobytes(), _narrow(w[new], 6), _few(_sizes(new, len(w))), _few(np.add.reduceat(c, new))])
-        return pa.table({"bucket": t["bucket"][:1].combine_chunks(), "words": pa.array([words], pa.binary()), "three": pa.array([three], pa.list_(pa.int64())), "two": pa.array([two], pa.list_(pa.int64())), "n": pa.array([tokens_], pa.int64())})
+        return pa.table({"bucket": t["bucket"][:1].combine_chunks(), "words": pa.array([_totals(w, c)], pa.binary()), "heads": pa.array([np.array([int(hot.sum())], "<i8").tobytes() + b"".join(split)], pa.binary()), "three": pa.array([three], pa.list_(pa.int64())), "two": pa.array([_often(kinds)], pa.list_(pa.int64())), "n": pa.array([tokens_], pa.int64())})
+
+    return runs.groupBy("bucket").applyInArrow(run, "bucket int, words binary, heads binary, three array<long>, two array<long>, n long")
+
+
+def _often(c: np.ndarray) -> list[int]:
+    """How many are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()
+
+
+def _totals(w: np.ndarray, c: np.ndarray) -> bytes:
+    """Second words of distinct pairs, each with how many pairs it has and the sum of their counts."""
+    o = np.argsort(w, kind="stable")
+    w, c = w[o], c[o]
+    new = _starts(w)
+    return b"".join([np.array([len(new)], "<i8").tobytes(), _narrow(w[new], 6), _few(_sizes(new, len(w))), _few(np.add.reduceat(c, new) if len(new) else c)])
+
+
+def _head_pairs(grams: DataFrame, heads: Heads, here: str) -> DataFrame:
+    """Pairs of heads, which meet by both words. One row per bucket, with ``first``: what follows each head once, twice, more often."""
 
-    return runs.groupBy("bucket").applyInArrow(run, "bucket int, words binary, three array<long>, two array<long>, n long")
+    def deal(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                r = _Reader(x.as_py())
+                n = int(r.take("<i8", 1)[0])
+                all_ = [r.wide(n, 6).view(np.int64), r.wide(n, 6).view(np.int64), r.few(), r.few()]
+                b = heads.pairs(all_[0].view(np.uint64), all_[1].view(np.uint64))
+                o = np.argsort(b, kind="stable")
+                rows = _stretches(b[o])
+                out = [np.concatenate([y[o[i:j]] for y in all_]).tobytes() for _, i, j in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "pairs"])
+
+    def run(t: pa.Table) -> pa.Table:
+        v, w, kinds, c = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(4, -1) for x in t["pairs"]], axis=1)
+        v, w = v.view(np.uint64), w.view(np.uint64)
+        o = np.lexsort((w, v))
+        v, w, kinds, c = v[o], w[o], kinds[o], c[o]
+        new = _starts(v, w)
+        v, w, kinds, c = v[new], w[new], np.add.reduceat(kinds, new), np.add.reduceat(c, new)
+        bucket = t["bucket"][0].as_py()
+        _write(f"{here}/hbi", bucket, counted(pair_hash(v, w), kinds))
+        new = _starts(v)
+        first = [{"w": int(x), "n": list(map(int, y))} for x, *y in zip(v[new], *_by_count(kinds, new), strict=True)]
+        return pa.table({"bucket": t["bucket"][:1].combine_chunks(), "words": pa.array([_totals(w, c)], pa.binary()), "first": pa.array([first], pa.list_(pa.struct({"w": pa.int64(), "n": pa.list_(pa.int64())}))), "two": pa.array([_often(kinds)], pa.list_(pa.int64())), "n": pa.array([0], pa.int64())})
+
+    dealt = grams.select("heads").mapInArrow(tidy(deal), "bucket int, pairs binary")
+    return dealt.groupBy("bucket").applyInArrow(run, "bucket int, words binary, first array<struct<w: long, n: array<long>>>, two array<long>, n long")
 
 
 def _write(folder: str, bucket: int, body: bytes) -> None:
@@ -301,9 +392,14 @@ def counted(h: np.ndarray, c: np.ndarray) -> bytes:
 FIT = 32, 8, 8, 31
 
 
+def _by_count(c: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """By stretch: how many are 1, 2, 3 and more, and what the last have above 3 each."""
+    return [np.add.reduceat(x.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64) for x in (c == 1, c == 2, c >= 3, np.maximum(c - 3, 0))]
+
+
 def summed(h: np.ndarray, c: np.ndarray, starts: np.ndarray) -> bytes:
     """Contexts: how many things follow them once, twice, more often, and what the last have above 3 each."""
-    n = [np.add.reduceat((c == 1).astype(np.int64), starts), np.add.reduceat((c == 2).astype(np.int64), starts), np.add.reduceat((c >= 3).astype(np.int64), starts), np.add.reduceat(np.maximum(c - 3, 0), starts)]
+    n = _by_count(c, starts)
     odd = np.zeros(len(h), bool)
     code = np.zeros(len(h), np.int64)
     for x, k in zip(n, FIT, strict=True):
@@ -327,6 +423,8 @@ class Lookup:
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of those hashes that are there, and which they are."""
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         want = (h << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32)
         low, end = self.edge[slot].astype(np.int64), self.edge[slot + 1].astype(np.int64)
@@ -365,8 +463,13 @@ class Lookup:
         hit, k = self.aside(at)
         for x, values in zip(n, self.values, strict=True):
             x[hit] = values[k]
-        total = n[0] + 2 * n[1] + 3 * n[2] + n[3]
-        return total, (n[0] * d[0] + n[1] * d[1] + n[2] * d[2]) / total, there
+        return *_left(n, d), there
+
+
+def _left(n: list[np.ndarray], d: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Total and left-over weight of contexts, of numbers as ``_by_count`` gives them."""
+    total = n[0] + 2 * n[1] + 3 * n[2] + n[3]
+    return total, (n[0] * d[0] + n[1] * d[1] + n[2] * d[2]) / total
 
 
 class Model:
@@ -374,7 +477,7 @@ class Model:
 
     def __init__(self, totals: dict, folder: str):
         self.folder, self.files = folder, {}
-        self.has = {k: np.unpackbits(np.frombuffer(totals[k], np.uint8)) for k in ("grams", "words")}
+        self.has = {k: np.unpackbits(np.frombuffer(totals[k], np.uint8)) for k in ("grams", "hbi", "words")}
 
     def _open(self, name: str, bucket: int, kind):
         if (name, bucket) not in self.files:
@@ -384,7 +487,7 @@ class Model:
         return self.files[name, bucket]
 
     def look(self, name: str, bucket: int) -> Lookup | None:
-        return self._open(name, bucket, Lookup) if self.has["grams"][bucket] else None
+        return self._open(name, bucket, Lookup) if self.has["hbi" if name == "hbi" else "grams"][bucket] else None
 
     def words(self, bucket: int) -> np.ndarray:
         return self._open("words", bucket, lambda p: np.memmap(p, np.uint8, "r")) if self.has["words"][bucket] else np.zeros(0, np.uint8)
@@ -414,11 +517,14 @@ def train(docs: DataFrame, n_buckets: int | None = None) -> tuple[dict, str]:
         n_buckets = BUCKETS << max(0, -(-size // (BUCKETS * BUCKET_BYTES)) - 1).bit_length()
     spark = docs.sparkSession
     here = _local(spark, scratch_path(spark, "kn"))
-    grams = cut(_count(_runs(docs, n_buckets), here), "kn-grams")
-    words = cut(_words(_second_words(grams, n_buckets)), "kn-words")
+    heads = heads_of(docs, n_buckets)
+    grams = cut(_count(_runs(docs, heads), heads, here), "kn-grams")
+    split = cut(_head_pairs(grams, heads, here), "kn-heads") if len(heads.words) else None
+    both = grams.select("words", "two", "n") if split is None else grams.select("words", "two", "n").unionByName(split.select("words", "two", "n"))
+    words = cut(_words(_second_words(both, n_buckets)), "kn-words")
     add = lambda df, name: [x or 0 for x in df.agg(*[F.sum(F.col(name)[k]) for k in range(4)], F.sum("n")).first()]
     *three, n_tokens = add(grams, "three")
-    *two, _ = add(grams, "two")
+    *two, _ = add(both, "two")
     *one, v = add(words, "counts")
     d1 = discounts(one)
     kinds = words.select("words")
@@ -433,7 +539,11 @@ def train(docs: DataFrame, n_buckets: int | None = None) -> tuple[dict, str]:
 
     s = kinds.mapInArrow(tidy(sums), "n long, taken double").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken")).first()
     n = s["n"] or 0
-    totals = {"tokens": n_tokens, "words_known": v, "pairs": n, "unknown": (s["taken"] or 0.0) / n / (v + 1) if n else 1.0, "buckets": n_buckets, "d3": discounts(three), "d2": discounts(two)}
+    totals = {"tokens": n_tokens, "words_known": v, "pairs": n, "unknown": (s["taken"] or 0.0) / n / (v + 1) if n else 1.0, "buckets": n_buckets, "d3": discounts(three), "d2": discounts(two), "heads": heads, "first": np.zeros((4, len(heads.words)), np.int64)}
+    if split is not None:  # a row for each head
+        first = split.select(F.explode("first").alias("f")).groupBy("f.w").agg(*[F.sum(F.col("f.n")[k]).alias(f"n{k}") for k in range(4)]).toArrow()
+        at, _ = _look(heads.words, first["w"].to_numpy().astype(np.uint64))
+        totals["first"][:, at] = [first[f"n{k}"].to_numpy() for k in range(4)]
 
     def store(batches):
         for batch in batches:
@@ -443,7 +553,7 @@ def train(docs: DataFrame, n_buckets: int | None = None) -> tuple[dict, str]:
                 _write(f"{here}/words", key.as_py(), h.tobytes() + p1.tobytes() + c.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["bucket"])
 
-    made = {"grams": grams.select("bucket"), "words": words.select("bucket", "words").mapInArrow(tidy(store), "bucket int")}
+    made = {"grams": grams.select("bucket"), "hbi": grams.select("bucket").limit(0) if split is None else split.select("bucket"), "words": words.select("bucket", "words").mapInArrow(tidy(store), "bucket int")}
     for name, df in made.items():
         there = np.zeros(n_buckets, np.uint8)
         there[df.toArrow()["bucket"].to_numpy()] = 1  # a number for each bucket
@@ -485,16 +595,32 @@ def scores(docs: DataFrame, totals: dict, folder: str, keep: list[str] | None =
                     if table_ := model.look("first", k):
                         total, left, there = table_.sums(mix(kinds[some]), totals["d2"])
                         after[some[there]], rest[some[there]] = total, left
+                heads = totals["heads"]
+                there, at_ = heads.where(kinds)
+                after[there], rest[there] = _left(list(totals["first"][:, at_]), totals["d2"])
                 first = np.searchsorted(kinds, prev)
                 p = rest[first] * p1[which]
-                bt = b[first].astype(np.uint16 if nb <= 1 << 16 else np.int64)
                 three, two, context = gram_hash(u, prev, tok), pair_hash(prev, tok), pair_hash(u, prev)
+
+                def add_pairs(name, k, some):
+                    c, there = model.look(name, k).counts(two[some])
+                    some = some[there]
+                    p[some] += np.maximum(c - _discount(c, totals["d2"]), 0) / after[first[some]]
+
+                hot, _ = heads.where(prev)
+                bt = b[first]
+                for k, some in _groups(bt, np.argsort(bt, kind="stable")):
+                    if model.has["grams"][k]:
+                        add_pairs("bi", k, some)
+                hot = np.flatnonzero(hot)
+                bt = heads.pairs(prev[hot], tok[hot])
+                for k, some in _groups(bt, np.argsort(bt, kind="stable")):
+                    if model.has["hbi"][k]:
+                        add_pairs("hbi", k, hot[some])
+                bt = heads.grams(u, prev)
                 for k, some in _groups(bt, np.argsort(bt, kind="stable")):
-                    if not (table_ := model.look("bi", k)):
+                    if not model.has["grams"][k]:
                         continue
-                    c, there = table_.counts(two[some])
-                    some_ = some[there]
-                    p[some_] += np.maximum(c - _discount(c, totals["d2"]), 0) / after[first[some_]]
                     total, left, there = model.look("ctx", k).sums(context[some], totals["d3"])
                     p[some[there]] *= left
                     all_ = np.ones(len(some))
