@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import corpus_pipeline
 import pytest
@@ -143,6 +144,46 @@ def test_matroska_laces_and_damage():
     assert matroska.parse(None).status == "null"
 
 
+def test_packet_table(spark):
+    """The rows' byte ranges give the payload back, times rise in a track, and cues name their clusters."""
+    texts = {1: "abc " * 40_000, 2: None, 3: "", 4: "some words"}
+    media = matroska.to_matroska(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    data = {r.doc_id: bytes(r.media) for r in media.collect()}
+    every = matroska.packet_table(media, "doc_id", "media").collect()
+    for i, text in texts.items():
+        rows = [r for r in every if r.doc_id == i]
+        assert b"".join(data[i][r.offset : r.offset + r.size] for r in rows) == matroska.padded((text or "").encode())
+        times = [r.timestamp_ns for r in rows]
+        assert times == sorted(times) and {r.status for r in rows} == {"ok"}
+        clusters = matroska.parse(data[i]).clusters
+        assert all(r.cue_offset in (None, clusters[r.cluster]) for r in rows) and any(r.cue_offset is not None for r in rows)
+    broken = matroska.packet_table(spark.createDataFrame([(5, None), (6, b"no")], "doc_id long, media binary"), "doc_id", "media").collect()
+    assert {(r.doc_id, r.track) for r in broken} == {(5, None), (6, None)} and all(r.status != "ok" for r in broken)
+
+
+def test_near_dedup_by_brute_force(spark):
+    """The pipeline's near-duplicate stage against all pairs of sets of five-word shingles."""
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    sets = {}
+    for r in d.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, sf).select("doc_id").collect()) == [i for i in sorted(sets) if find(i) == i]
+
+
 @pytest.mark.parametrize("kind", ["rows", "none", "clash"])
 def test_stages_keep_columns(spark, tables, tmp_path, kind):
     d, y = tables[kind]
