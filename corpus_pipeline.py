@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and reads again as the next
 stage's documents. All but the last return the columns of ``docs``. The pipeline as a whole has no SQL (the
-classifier, hashes and packing are none of SQL's). ``tests/llm`` holds toxicity, near-duplicates and secrets against what their
-operators find, and mixing and packing against targets and the tokenizer; there is no brute-force version of the whole.
+classifier, hashes and packing are none of SQL's). ``tests/llm`` computes in plain Python which documents and texts reach the
+mix, and holds ``run``'s pieces against them, the tokenizer and the targets; only which documents the mix draws is read from the result.
 
 Defined results: an empty table gives an empty result; extra columns are carried along to the last stage; null texts have no
 words, so that mixing leaves them out; of equal rows one stays; ties go to the smallest doc_id; very long texts pass whole.
