@@ -12,7 +12,7 @@ White space (Unicode's) inside a block becomes one space; a line break element c
 capped: a page with more blocks has a larger graph, in which edges only join what is near.
 
 Defined results: a null or empty page has the text '' and no blocks; equal pages have equal texts; repeated rows have a row
-each; an empty table has an empty result; costs that tie go to content; other columns are carried only where asked for.
+each; an empty table has an empty result; costs that tie go to content; a very long page is one page like others; other columns are carried only where asked for.
 """
 
 from __future__ import annotations

@@ -6,6 +6,8 @@ unknown size, BlockGroups and several tracks, and gives tracks, packets and cue
 
 Defined results: a null or empty text is a payload of 64 zero bytes; null media, or media that is no
 EBML, has no packets and a status that says so; what a truncated file still holds whole is returned.
+Equal texts have equal files; repeated rows have a row each. A very long text has more clusters. An empty table has an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ open bins with that gap smallest (ties: the smaller gap). Bins of one gap are al
 count per gap. A group leaves at most a few bins open, a share of GROUP ** -1 of all.
 
 Defined results: a null or empty text is the single id 1; repeated rows with one doc_id are packed each for
-itself, as are equal pieces; without rows there are no sequences. Reruns agree.
+itself, as are equal pieces; without rows there are no sequences. A very long text is cut into pieces,
+each packed for itself. Reruns agree. Of other columns only those asked for as keys are read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ scalar subquery of BUCKETS numbers). Everything is DataFrame functions.
 
 Defined results: a null text has no words; it and other short texts fail the first rules and have a score of 0 where
 nothing can be scored. Without trusted documents all scores are 0 and the verdict is theirs. Labels of null or unknown
-documents count for nothing; a document that one of several labels calls good is good. Repeated rows count each.
+documents count for nothing; a document that one of several labels calls good is good. Repeated rows count each and
+have a row each. A score that equals the threshold keeps the document. A very long text is scored whole. An empty table has an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations

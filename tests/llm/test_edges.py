@@ -1,8 +1,11 @@
 """Nulls, empty and very long texts, repeated rows, ties, empty tables and clashing columns for every operator and stage."""
 
+import hashlib
 import itertools
 import random
 import re
+import zlib
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -214,3 +217,48 @@ def test_pipeline_stages(spark):
                 text += r.text[at : s.start] + "<secret>"
             at = max(at, s.end)
         assert clean[r.doc_id] == text + r.text[at:]
+
+
+def words_of(text, pattern=r"[^\x20\x09-\x0D]+"):
+    return re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def phrases(text):
+    w = words_of(text, licenses.WORDS)
+    return [j for _, p in licenses.PHRASES for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
+
+
+def repeats(w):
+    five = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    return len({j + k for j in range(len(w) - 4) if five[tuple(w[j : j + 5])] > 1 for k in range(5)})
+
+
+def model_tokens(text):
+    learnt = {x for i, t, *_ in ROWS if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1 for x in words_of(t)}
+    return len(words_of(text)) + 1, sum(x in learnt for x in words_of(text)) + 1
+
+
+def payload(text):
+    raw = (text or "").encode()
+    full = raw + bytes(-len(raw) % 64 or 64 * (not raw))
+    return len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:])
+
+
+#: By operator: columns, and what they hold for a row.
+VALUES = {
+    "media": (["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"], lambda i, t: payload(t)),
+    "licenses": (["n_words", "n_base", "first_word", "last_word"], lambda i, t: (len(words_of(t, licenses.WORDS)), len(phrases(t)), min(phrases(t), default=None), max(phrases(t), default=None))),
+    "quality": (["n_words", "word_chars", "n_repeat_words"], lambda i, t: (len(words_of(t)), sum(map(len, words_of(t))), repeats(words_of(t)))),
+    "secrets": (["n_assign", "n_access", "n_hex", "n_live"], lambda i, t: (("password" in (t or "")) * 1, 0, 0, ("password" in (t or "")) * 1)),
+    "toxicity": (["held_out"], lambda i, t: (zlib.crc32(str("" if i is None else i).encode()) % 3 == 1,)),
+    "near": (["n_shingles"], lambda i, t: (len({tuple(w[k : k + 5]) for w in [words_of(t)] for k in range(max(1, len(w) - 4))}) * bool(words_of(t)),)),
+    "model": (["n_tokens", "n_known"], lambda i, t: model_tokens(t)),
+}
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_values_of_odd_rows(tables, name):
+    """Each row's values, with other columns that have clashing names."""
+    columns, want = VALUES[name]
+    got = OPERATORS[name](*tables["clash"]).select("doc_id", *columns).collect()
+    assert Counter(map(tuple, got)) == Counter((i, *want(i, t)) for i, t, *_ in ROWS)
