@@ -36,44 +36,74 @@ def symbols(seed: int | None, last: int = LAST) -> tuple[str, ...]:
 
 @lru_cache
 def shifts(seed: int | None, n: int, last: int = LAST) -> np.ndarray:
-    """The first n places of the key, as shifts."""
-    size = len(symbols(seed, last))
-    return np.array(random.Random(seed).choices(range(size), k=n), np.int32)
+    """The first n places of the key, as shifts; drawn in parts, which is the same stream without a list of n numbers."""
+    size, r = len(symbols(seed, last)), random.Random(seed)
+    out = np.empty(n, np.int32)
+    for i in range(0, n, FRESH):
+        out[i : i + FRESH] = r.choices(range(size), k=min(FRESH, n - i))
+    return out
 
 
-def key_at(seed: int | None, key_length: int, n: int, last: int = LAST) -> np.ndarray:
+@lru_cache(maxsize=16)
+def repeated(seed: int | None, key_length: int, n: int, last: int = LAST) -> np.ndarray:
     """The shifts of places 0 to n - 1 of a text."""
     if key_length:
         return np.resize(shifts(seed, key_length, last), n)
-    if n <= FRESH:
-        return shifts(seed, FRESH, last)[:n]
-    more = 1 << max(14, (n - FRESH - 1).bit_length())  # few different lengths, so that the cache serves
-    return np.concatenate([shifts(seed, FRESH, last), shifts(seed, more, last)[: n - FRESH]])
+    return np.concatenate([shifts(seed, FRESH, last), shifts(seed, max(0, n - FRESH), last)])[:n]
+
+
+def key_of(seed: int | None, key_length: int, place: np.ndarray, last: int = LAST) -> np.ndarray:
+    """The shifts of these places of a text."""
+    n = 1 << max(16, int(place.max(initial=0)).bit_length())  # few different lengths, so that the cache serves
+    if key_length and n > 1 << 20:
+        return shifts(seed, key_length, last)[place % key_length]
+    return repeated(seed, key_length, n, last)[place]
+
+
+def key_at(seed: int | None, key_length: int, n: int, last: int = LAST) -> np.ndarray:
+    """The shifts of places 0 to n - 1 of a text."""
+    return key_of(seed, key_length, np.arange(n), last)
+
+
+#: Bytes of text that ``shifted`` takes at a time: its arrays take some 60 bytes for each.
+PIECE = 1 << 18
 
 
 def shifted(texts: pa.Array, seed: int | None, key_length: int, sign: int = 1, last: int = LAST) -> pa.Array:
     """All texts of an Arrow array, en- (sign 1) or deciphered (-1)."""
     order = symbols(seed, last)
     sym = np.array([ord(c) for c in order], np.uint32)
-    place = np.full(last + 1, -1, np.int32)
+    place = np.full(last + 2, -1, np.int32)  # the last one stands for all other characters
     place[sym] = np.arange(len(sym))
+    turned = np.concatenate([sym, sym]) if sign > 0 else np.concatenate([sym, sym])[::-1].copy()  # by the sum of place and shift
+    if sign < 0:
+        place = np.where(place < 0, -1, len(sym) - 1 - place).astype(np.int32)
     texts = texts.cast(pa.large_string())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
     at = at - at[0]
-    code = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
-    begin = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at]  # of each text, in characters
-    length = np.diff(begin)
-    if len(code):
-        key = key_at(seed, key_length, int(length.max()), last)
-        shift = key[np.arange(len(code)) - np.repeat(begin[:-1], length)]
-        index = place[np.minimum(code, last)]
-        inside = (code <= last) & (index >= 0)
-        code[inside] = sym[(index[inside] + sign * shift[inside]) % len(sym)]
-    size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)[begin]
-    body = code.tobytes().decode("utf-32-le").encode()
+    ends, bodies, done, base, p = np.zeros(len(at), np.int64), [], 0, 0, 0  # done: characters of the text that a piece goes on with
+    while p < len(raw):
+        q = min(p + PIECE, len(raw))
+        while p < q < len(raw) and raw[q] & 0xC0 == 0x80:  # no character is cut
+            q -= 1
+        q = q if q > p else len(raw)
+        part = raw[p:q]
+        code = np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)
+        lo, hi = np.searchsorted(at, (p, q))
+        begin = np.searchsorted(np.flatnonzero((part & 0xC0) != 0x80), at[lo:hi] - p)  # of each text that begins here, in characters
+        index = np.arange(len(code)) - np.repeat(np.concatenate([[-done], begin]), np.diff(np.concatenate([[0], begin, [len(code)]])))
+        at_sym = place[np.minimum(code, last + 1)]
+        code = np.where(at_sym < 0, code, turned[at_sym + key_of(seed, key_length, index, last)])
+        body = code.tobytes().decode("utf-32-le").encode()
+        starts = np.flatnonzero((np.frombuffer(body, np.uint8) & 0xC0) != 0x80)  # of each character, in bytes
+        ends[lo:hi] = base + np.append(starts, len(body))[begin]
+        bodies.append(body)
+        done = len(code) - int(begin[-1]) if len(begin) else done + len(code)
+        base, p = base + len(bodies[-1]), q
+    ends[np.searchsorted(at, len(raw)) :] = base
+    body = b"".join(bodies)
     mask = texts.is_valid().cast(pa.uint8()).to_numpy(zero_copy_only=False).astype(bool)
     bits = pa.py_buffer(np.packbits(mask, bitorder="little").tobytes()) if not mask.all() else None
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends.tobytes()), pa.py_buffer(body), bits).cast(pa.string())

@@ -11,23 +11,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import bound_batches
+
 #: A run of these characters is a word in most contracts; the bytes are those of ``bytes.split()``.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-#: Most bytes of an Arrow batch, where the session says nothing: it is held by the executor and by the Python worker.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-
-
-def _bound_batches(spark: SparkSession) -> None:
-    """Rows of a batch are bounded by number anyway; long texts make this the bound that counts. A value that a user set stays."""
-    if spark.conf.get(BATCH[0], None) in (None, "67108864", "67108864b", "64m"):
-        spark.conf.set(BATCH[0], str(BATCH[1]))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    _bound_batches(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,7 +46,7 @@ _own = ""
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there goes when the driver ends."""
-    _bound_batches(spark)
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/lexforge/{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(_remove, spark, path)
     return path

@@ -25,7 +25,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     return spark
 
 
+#: Most bytes of an Arrow batch, where the session says nothing: it is held by the executor and by the Python worker.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows of a batch are bounded by number anyway; long texts make this the bound that counts. A value that a user set stays."""
+    if spark.conf.get(BATCH[0], None) in (None, "67108864", "67108864b", "64m"):
+        spark.conf.set(BATCH[0], str(BATCH[1]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

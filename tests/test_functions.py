@@ -102,3 +102,23 @@ def test_sql_functions(spark):
     register(spark, 7)
     r = spark.sql("select lev_sim('abcd', 'abxd') s, word_count(' a b\\n c') n, words('a  b') w, mask_pii('x a.b@c.org +1 (663) 555-6869') m, poly_decrypt(poly_encrypt('Hello!', 100), 100) p").first()
     assert (r.s, r.n, r.w, r.m, r.p) == (0.75, 3, ["a", "b"], "x <EMAIL> <PHONE>", "Hello!")
+
+
+@pytest.mark.parametrize("k", [0, 7, 100])
+def test_cipher_by_pieces(monkeypatch, k):
+    monkeypatch.setattr(cipher, "PIECE", 5)
+    texts = [*EDGE[:4], "", "漢" * 9, "ab😀é" * 3_000, "", *EDGE[-2:], ""]
+    got = cipher.shifted(pa.array([*texts, None, "z"]), 1234, k)
+    assert got.to_pylist() == [slow_poly(x, k, 1234) for x in texts] + [None, slow_poly("z", k, 1234)]
+
+
+def test_cipher_memory_is_bounded():
+    import tracemalloc
+
+    texts = pa.array(["abcdé " * 700_000] + ["word " * 500] * 800)
+    cipher.shifted(texts.slice(1, 1), 1234, 100)
+    tracemalloc.start()
+    cipher.shifted(texts, 1234, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * texts.nbytes + 60 * cipher.PIECE
