@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Unicode white space, written so that Java and RE2 read it alike.
 WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORD = f"[^{WHITE}]+"
+#: The same for Java alone: what is no white space for most characters is known by their range, before the long class is asked.
+GAP, INK = rf"[\x00-\x20\x7F-\x{{10FFFF}}&&[{WHITE}]]+", f"[!-~[^{WHITE}]]"
 #: Dates at the start of a token: year-month or a whole month-day; what follows the first form does not matter.
 DATE = r"^(?:\p{Nd}{2,4}[-年/]\p{Nd}{1,2}|\p{Nd}{1,2}[-月/]\p{Nd}{1,2}日?\z)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -21,12 +23,17 @@ SENTENCE = r"[^.!?]+[.!?]*"
 
 
 def words(text: Column) -> Column:
-    """Runs without white space."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """Runs without white space: those of ``WORD``. Cutting at the gaps is several times faster than extracting each match."""
+    return F.array_remove(F.split(text, GAP, -1), "")
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD)).cast("long")
+    return F.array_size(words(text)).cast("long")
+
+
+def two_words(text: Column) -> Column:
+    """Whether there are at least two words; reads no further than the second."""
+    return text.rlike(INK + GAP + INK)
 
 
 def nonempty(text: Column) -> Column:
@@ -44,7 +51,7 @@ def lines(text: Column) -> Column:
 
 def drop_oneword(tokens: Column) -> Column:
     """Tokens of at least two words."""
-    return F.filter(tokens, lambda t: F.regexp_count(t, F.lit(WORD)) > 1)
+    return F.filter(tokens, two_words)
 
 
 def drop_dates(tokens: Column) -> Column:
@@ -67,8 +74,7 @@ def pattern_exceeds(text: Column, pattern: str, most: int) -> Column:
 
 def keyword_ratio_exceeds(text: Column, keywords: str, threshold: float = 0.01) -> Column:
     """Whether the hits of the pattern ``keywords`` are more than ``threshold`` of the words; never without words."""
-    n = word_count(text)
-    return (n > 0) & (F.regexp_count(text, F.lit(keywords)) / n > threshold)
+    return F.coalesce(F.regexp_count(text, F.lit(keywords)) / F.nullif(word_count(text), F.lit(0)) > threshold, F.lit(False))
 
 
 def similarity(a: Column, b: Column) -> Column:

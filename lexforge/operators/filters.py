@@ -86,8 +86,8 @@ def tokens(name: str, keep: Callable[[Column], Column], split: Callable[[Column]
 
 def oneword_lines(words: Callable[[Column], Column] = t.words) -> Step:
     """Drops lines of fewer than two words, as ``words`` cuts them; ``text.script_words`` suits text without blanks."""
-    count = t.word_count if words is t.words else lambda line: F.size(words(line))
-    return tokens("oneword_lines", lambda line: count(line) > 1, t.lines, "\n")
+    keep = t.two_words if words is t.words else lambda line: F.size(words(line)) > 1
+    return tokens("oneword_lines", keep, t.lines, "\n")
 
 
 def dates(words: Callable[[Column], Column] = t.words, join: str = " ", pattern: str = t.DATE) -> Step:

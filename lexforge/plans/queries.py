@@ -431,7 +431,7 @@ def levenshtein_similarity(spark, sf):
 
 @query("prompt_continuation_split", f"select doc_id, array_to_string(w[1 : ceil(len(w) / 2)::BIGINT], ' ') as prompt, array_to_string(w[ceil(len(w) / 2)::BIGINT + 1 :], ' ') as target from (select doc_id, {WORDS} as w from documents) where len(w) >= 2")
 def prompt_continuation_split(spark, sf):
-    d = docs(spark, sf).select("doc_id", t.words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") >= 2)
+    d = docs(spark, sf).select("doc_id", F.explode(F.array(t.words(F.coalesce("text", F.lit(""))))).alias("w")).where(F.size("w") >= 2)  # no filter goes below explode, so words are cut once
     prompt, target = scoring.prompt_split(F.col("w"))
     return d.select("doc_id", F.array_join(prompt, " ").alias("prompt"), F.array_join(target, " ").alias("target"))
 

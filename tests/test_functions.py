@@ -122,3 +122,19 @@ def test_cipher_memory_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 6 * texts.nbytes + 60 * cipher.PIECE
+
+
+def test_words_at_every_white_space(spark):
+    white = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    texts = ["", " ", "a", " é漢 ", "a​b\x1bc᠎d😀", *(f"{c}a{c}{c}ü{c}" for c in white), "".join(white), None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, x string").select("i", t.words(F.col("x")).alias("w"), t.word_count(F.col("x")).alias("n"), t.two_words(F.col("x")).alias("two"))
+    want = [None if x is None else x.split() for x in texts]
+    assert [(r.w, r.n, r.two) for r in rows.orderBy("i").collect()] == [(w, None, None) if w is None else (w, len(w), len(w) > 1) for w in want]
+
+
+@pytest.mark.parametrize("name", ["compose_pipeline", "prompt_continuation_split"])
+def test_words_are_cut_once(spark, sf, name):
+    from lexforge.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert t.WORD not in plan and plan.count(f", {t.GAP}, -1)") == {"compose_pipeline": 2, "prompt_continuation_split": 1}[name]
