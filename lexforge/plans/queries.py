@@ -454,12 +454,12 @@ _WINDOWS = f"(select case when place < 1024 then 0 else (place - 1024) // 512 +
 
 @query("perplexity_windows", f"select w::BIGINT as window, n_tokens, round(nll, 9) as nll from {_WINDOWS}")
 def perplexity_windows(spark, sf):
-    return scoring.window_nll(cut(scoring.unigram_nll(docs(spark, sf)), "nll")).withColumn("nll", F.round("nll", 9))
+    return scoring.unigram_windows(docs(spark, sf)).withColumn("nll", F.round("nll", 9))
 
 
 @query("perplexity", f"select count(*) as n_windows, round(exp(avg(nll)), 6) as ppl from {_WINDOWS}")
 def perplexity(spark, sf):
-    return scoring.perplexity(scoring.window_nll(cut(scoring.unigram_nll(docs(spark, sf)), "nll"))).withColumn("ppl", F.round("ppl", 6))
+    return scoring.perplexity(scoring.unigram_windows(docs(spark, sf))).withColumn("ppl", F.round("ppl", 6))
 
 
 # ---- flagship ----------------------------------------------------------------------------------------

@@ -195,3 +195,19 @@ def test_tokenizer_equivalence(spark):
     assert corpus.differing_ids(d, a, a).count() == 0
     assert {r.doc_id for r in corpus.differing_ids(d, a, b).collect()} == {1}
     assert corpus.sampled_sentences(d, 5).count() == 1
+
+
+@pytest.mark.parametrize("heads", [0, 3, 1000])
+def test_unigram_windows(spark, heads):
+    import math
+    from collections import Counter
+
+    texts = {2: "a b c " * 500, 1: "a d " * 300, 5: None, 4: "", 9: "b " * 7 + "e", None: "f g g"}
+    every = [w for k in (1, 2, 4, 9, None) for w in (texts[k] or "").split()]
+    c, groups = Counter(every), {}
+    for i, w in enumerate(every):
+        groups.setdefault(0 if i < 1024 else (i - 1024) // 512 + 1, []).append(-math.log(c[w] / len(every)))
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    out = scoring.unigram_windows(d, heads=heads)
+    assert {r.window: (r.n_tokens, round(r.nll, 9)) for r in out.collect()} == {k: (len(x), round(sum(x) / len(x), 9)) for k, x in groups.items()}
+    assert scoring.unigram_windows(d.where("doc_id < 0"), heads=heads).count() == 0
