@@ -8,8 +8,11 @@ seen. So no iteration is needed: of each band the smallest id, then one comparis
 from __future__ import annotations
 
 import random
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -25,17 +28,42 @@ def coefficients(n: int = PERMUTATIONS, seed: int = 1) -> list[tuple[int, int]]:
     return [(r.randrange(1, 1 << 30), r.randrange(1 << 30)) for _ in range(n)]
 
 
-def shingles(text: Column, width: int = SHINGLE) -> Column:
-    """Word n-grams; a shorter text is one shingle, one without words has none."""
-    w = t.words(text)
-    return F.transform(F.array(w), lambda w: F.when(F.size(w) < width, F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, F.lit(width)), " "))))[0]
+def _minima(lists: pa.Array, width: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The minima of each list of words, or -1 where it has none: one row for each list."""
+    out, prime = np.full((len(lists), len(a)), -1, np.int64), np.uint64(PRIME)
+    for row, words in enumerate(lists):
+        if not words.is_valid or not len(words.values):
+            continue
+        raw = " ".join(words.values.to_pylist()).encode()
+        ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32), len(raw))  # no word holds a blank
+        first, last = np.concatenate([[0], ends[:-1] + 1]).tolist(), ends[min(width, len(ends)) - 1 :].tolist()
+        h = np.frombuffer(b"".join([md5(raw[x:y]).digest()[:4] for x, y in zip(first, last, strict=False)]), ">u4").astype(np.uint64)
+        least = out[row]
+        for k in range(0, len(h), 256):  # 256 hashes under all maps fit a core's cache
+            x = h[k : k + 256] * a[:, None] + b[:, None]
+            x -= x // prime * prime  # NumPy divides by one number faster than it takes remainders
+            low = x.min(axis=1).astype(np.int64)
+            least[:] = np.minimum(least, low) if k else low
+    return out
 
 
 def signatures(docs: DataFrame, keep: list[str], width: int = SHINGLE, n: int = PERMUTATIONS) -> DataFrame:
-    """``keep`` (they identify a row) and sig, an array of ``n`` minima. Each task aggregates before rows move."""
-    h = docs.select(*keep, F.explode(shingles(F.col("text"), width)).alias("s")).select(*keep, t.hash32(F.col("s")).alias("h"))
-    mins = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(coefficients(n))]
-    return h.groupBy(*keep).agg(*mins).select(*keep, F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
+    """``keep`` (they identify a row) and sig, an array of ``n`` minima, of documents that have words. A document's shingles are hashed and
+    reduced where it is; rows that ``keep`` does not tell apart are merged."""
+    a, b = (np.array(x, np.uint64) for x in zip(*coefficients(n), strict=True))
+
+    def run(batches):
+        for batch in batches:
+            low = _minima(batch.column("_words"), width, a, b)
+            has = low[:, 0] >= 0
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(int(has.sum()) + 1, dtype=np.int32) * n), pa.array(low[has].ravel()))
+            kept = [batch.column(c).filter(pa.array(has)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, sig], names=[*keep, "sig"])
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    each = docs.select(*keep, t.words(F.col("text")).alias("_words")).mapInArrow(run, f"{kinds}, sig array<bigint>")
+    mins = [F.min(F.col("sig")[i]).alias(f"m{i}") for i in range(n)]
+    return each.groupBy(*keep).agg(*mins).select(*keep, F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
 
 
 def bands(sigs: DataFrame, keep: list[str], n: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:

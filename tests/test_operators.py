@@ -211,3 +211,20 @@ def test_unigram_windows(spark, heads):
     out = scoring.unigram_windows(d, heads=heads)
     assert {r.window: (r.n_tokens, round(r.nll, 9)) for r in out.collect()} == {k: (len(x), round(sum(x) / len(x), 9)) for k, x in groups.items()}
     assert scoring.unigram_windows(d.where("doc_id < 0"), heads=heads).count() == 0
+
+
+def test_signatures(spark):
+    import hashlib
+
+    texts = {1: "é漢 b\tc d e f g", 2: "a b", 3: "", 4: None, 5: " ".join(f"w{i % 700}" for i in range(2000))}
+    out = dedup.signatures(spark.createDataFrame([*texts.items(), (2, "x y z")], "doc_id long, text string"), ["doc_id"])
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()  # no row for each shingle
+    want = {}
+    for k, x in [*texts.items(), (2, "x y z")]:
+        w = (x or "").split()
+        s = [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+        h = [int(hashlib.md5(y.encode()).hexdigest()[:8], 16) for y in s]
+        if h:
+            sig = [min((y * a + b) % dedup.PRIME for y in h) for a, b in dedup.coefficients()]
+            want[k] = [min(p) for p in zip(want[k], sig)] if k in want else sig
+    assert {r.doc_id: r.sig for r in out.collect()} == want
