@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +28,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, GAP, -1), "")
 
 
+def words_of(text: pa.Array) -> pa.Array:
+    """``words`` of an Arrow array (valid UTF-8), as lists; Arrow's white space is that of ``WHITE``. Null for a text without words."""
+    bare = pc.utf8_trim_whitespace(text)
+    return pc.utf8_split_whitespace(pc.if_else(pc.equal(bare, ""), pa.scalar(None, bare.type), bare))
+
+
 def word_count(text: Column) -> Column:
     return F.array_size(words(text)).cast("long")
 

@@ -23,8 +23,31 @@ def char_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Bytes of words that ``word_frequency`` counts at once.
+COUNTED = 64 << 20
+
+
 def word_frequency(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(t.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """word, n. Arrow counts the words of ``COUNTED`` bytes of text at a time, so the JVM sees each of them once per piece."""
+
+    def counts(held):
+        n = pc.value_counts(pa.chunked_array(held))
+        return pa.RecordBatch.from_arrays([n.field("values"), n.field("counts")], names=["word", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            words = t.words_of(batch.column(0)).flatten()
+            if len(words):
+                held.append(words)
+                size += words.nbytes
+            if size >= COUNTED:
+                yield counts(held)
+                held, size = [], 0
+        if held:
+            yield counts(held)
+
+    return docs.select(F.make_valid_utf8("text").alias("_text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def covering_alphabet(docs: DataFrame, coverage: float = 0.9995) -> DataFrame:
@@ -49,14 +72,14 @@ def vocabulary(docs: DataFrame, size: int = 32_000) -> list[str]:
 def tokenised(docs: DataFrame, vocab: list[str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, token_ids (with the end of document). No shuffle; the vocabulary is a broadcast of known size.
 
-    A batch's words are looked up by Arrow's hash of the vocabulary, all at once.
+    Texts are cut and looked up in Arrow, a batch at a time: the words themselves never are rows or arrays of the JVM.
     """
     known = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
         words = pa.array(known.value, pa.string())
         for batch in batches:
-            lists = batch.column(0)
+            lists = t.words_of(batch.column(0))
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ids = pc.index_in(lists.flatten(), words).fill_null(UNKNOWN - len(SPECIAL)).to_numpy(zero_copy_only=False).astype(np.int32) + len(SPECIAL)
             ends = np.cumsum(n + 1)
@@ -68,7 +91,7 @@ def tokenised(docs: DataFrame, vocab: list[str], keep: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(offsets, pa.array(out))], names=[*batch.schema.names[1:], "token_ids"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(t.words(F.col("text")).alias("_words"), *keep).mapInArrow(run, f"{kinds}, token_ids array<int>")
+    return docs.select(F.make_valid_utf8("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, token_ids array<int>")
 
 
 def tokenised_by_file(docs: DataFrame, path: str, end: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
