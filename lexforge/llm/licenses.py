@@ -14,6 +14,8 @@ fit equally well all hold. An empty table has an empty result; very long texts a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ DENSE = 0.5
 _OUT = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORDS = rf"[^{_OUT}]+"
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: A word of each phrase without which a text, looked at letter by letter, cannot hold it.
-HINTS = {"mit": "license", "apache-2": "apache", "cc-by-nc": "cc"}
+#: Letters of each phrase without which a text cannot hold it; none is an i, which some locales lower-case otherwise.
+HINTS = {"mit": "cense", "apache-2": "apache", "cc-by-nc": "cc"}
 
 #: label, kind of text, text. Public notices.
 TEMPLATES = (
@@ -51,14 +53,23 @@ TEMPLATES = (
     ("cc-by", "line", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
 
+_TEMPLATE_WORDS = [re.findall(WORDS, text.lower()) for _, _, text in TEMPLATES]
+#: The words that stand first, second and third in k-grams of templates, all of ASCII letters.
+PLACES = [sorted({w for words in _TEMPLATE_WORDS for w in words[i : len(words) - K + 1 + i]}) for i in range(K)]
+
 
 def _text() -> Column:
     return F.coalesce("text", F.lit(""))
 
 
-def _low() -> Column:
-    """A-Z lower-cased, no other letters."""
-    return F.translate(_text(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def _low(word: str) -> Column:
+    """A-Z lower-cased, no other letters. It looks at each letter for itself, so it is for few words."""
+    return F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _words() -> Column:
+    """All words as they stand. Cutting at the gaps is faster than extracting each match."""
+    return F.array_remove(F.split(_text(), f"[{_OUT}]+", -1), "")
 
 
 def _grams(words: str) -> Column:
@@ -80,8 +91,14 @@ def spans(docs: DataFrame) -> DataFrame:
 
     ``text_hash`` tells rows apart that share a doc_id.
     """
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all(_low(), F.lit(WORDS), F.lit(0)).alias("words"))
-    d = d.select("doc_id", "text_hash", F.posexplode(_grams("words")).alias("pos", "g")).select("doc_id", "text_hash", "pos", F.col("g.w1").alias("w1"), F.col("g.w2").alias("w2"), F.col("g.w3").alias("w3"), F.xxhash64("g.w1", "g.w2", "g.w3").alias("hash"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words().alias("words"))
+    # outer, since the plan would else cut the text twice: once to ask whether it has words
+    d = d.select("doc_id", "text_hash", "words", F.posexplode_outer("words").alias("pos", "w1"))
+    d = d.select("doc_id", "text_hash", "pos", "w1", F.get("words", F.col("pos") + 1).alias("w2"), F.get("words", F.col("pos") + 2).alias("w3"))
+    # lower() is exact for ASCII words and other words are no template's; what it takes for one beyond them is asked again in the join
+    for i, words in enumerate(PLACES):
+        d = d.where(F.lower(f"w{i + 1}").isin(words))
+    d = d.select("doc_id", "text_hash", "pos", *[_low(w).alias(w) for w in ("w1", "w2", "w3")]).withColumn("hash", F.xxhash64("w1", "w2", "w3"))
     hits = d.join(F.broadcast(templates(docs.sparkSession)), "hash").where("w1 = t1 and w2 = t2 and w3 = t3")
     key = ["doc_id", "text_hash", "template", "label", "size"]
     # at most ``size`` template positions, and as many matches, in a row
@@ -117,13 +134,13 @@ def _base(n_words: Column) -> dict[str, Column]:
         pattern = F.lit(rf"(?i)(?<![^{_OUT}])" + rf"[{_OUT}]+".join(words) + rf"(?![^{_OUT}])")
         parts = F.split(_text(), pattern, -1)
         n = F.regexp_count(_text(), pattern)
-        out[label] = F.when(_low().contains(HINTS[label]) & (n > 0), F.struct(n.alias("n"), F.regexp_count(F.element_at(parts, 1), F.lit(WORDS)).alias("first"), (n_words - len(words) - F.regexp_count(F.element_at(parts, -1), F.lit(WORDS))).alias("last")))
+        out[label] = F.when(F.lower(_text()).contains(HINTS[label]) & (n > 0), F.struct(n.alias("n"), F.regexp_count(F.element_at(parts, 1), F.lit(WORDS)).alias("first"), (n_words - len(words) - F.regexp_count(F.element_at(parts, -1), F.lit(WORDS))).alias("last")))
     return out
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``; see the module."""
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.regexp_count(_text(), F.lit(WORDS)).cast("long").alias("n_words"))
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.array_size(_words()).cast("long").alias("n_words"))
     found = _base(F.col("n_words"))
     d = d.select("doc_id", "text_hash", "n_words", *[c.alias(k) for k, c in found.items()])
     get = lambda f: [F.col(f"`{k}`.{f}") for k in found]

@@ -344,3 +344,19 @@ def test_deep_pages_take_linear_time():
     began = time.process_time()
     html_cut.extract("<div>" * 8000 + "<header>x</header>" * 8000)
     assert time.process_time() - began < 5
+
+
+def test_licenses_ask_letters_of_few_words_only(spark):
+    """op2_diagonals: no text is lower-cased letter by letter; A-Z alone are lower-cased all the same."""
+    notice = "\n-- THIS WORK IS Licensed under the GNU Lesser GENERAL Public License, version 3. UNDER the MIT liCENSE İ É"
+    rows_ = [(1, notice), (2, notice.replace("WORK", "WOR\u212a")), (3, notice.replace("WORK", "WORø")), (4, "É" + notice.replace("MIT liCENSE", "MIT lıCENSE")), (5, "..."), (6, None)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string")
+    out = licenses.license_scan(d)
+    assert "translate(coalesce(text" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    assert got[1] == (19, 1, 13, 13, "mit", "lgpl,mit", 1.0, 1) and got[2] == got[3]
+    assert got[4][1:5] == (0, None, None, "") and got[4][5] == "lgpl" and got[5] == got[6] == (0, 0, None, None, "", "", 0.0, 0)
+    spans = {}
+    for r in licenses.spans(d).collect():
+        spans.setdefault(r.doc_id, set()).add((r.label, r.template, r.first, r.last, r.cover, r.dense))
+    assert spans[2] == spans[3] != spans[1]
