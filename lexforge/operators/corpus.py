@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..shared import cut, running
+from ..shared import carried, cut
 
 #: Special tokens by id.
 SPECIAL = ("<unk>", "<s>", "</s>", "<pad>", "<CLS>", "<SEP>", "<EOD>", "<MASK>", "\n")
@@ -69,31 +72,46 @@ def vocabulary(docs: DataFrame, size: int = 32_000) -> list[str]:
     return [r["word"] for r in rows]
 
 
-def tokenised(docs: DataFrame, vocab: list[str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, token_ids (with the end of document). No shuffle; the vocabulary is a broadcast of known size.
+def _token_batches(batches, vocab: list[str]):
+    """Each batch of texts (its first column) with the tokens of its rows and all ids end to end. The words never are rows or arrays of the JVM."""
+    words = pa.array(vocab, pa.string())
+    for batch in batches:
+        lists = t.words_of(batch.column(0))
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = pc.index_in(lists.flatten(), words).fill_null(UNKNOWN - len(SPECIAL)).to_numpy(zero_copy_only=False).astype(np.int32) + len(SPECIAL)
+        ends = np.cumsum(n + 1)
+        out = np.full(int(ends[-1]) if len(ends) else 0, EOD, np.int32)
+        inside = np.ones(len(out), bool)
+        inside[ends - 1] = False
+        out[inside] = ids
+        yield batch, np.concatenate([[0], ends]), out
 
-    Texts are cut and looked up in Arrow, a batch at a time: the words themselves never are rows or arrays of the JVM.
-    """
+
+def tokenised(docs: DataFrame, vocab: list[str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, token_ids (with the end of document). No shuffle; the vocabulary is a broadcast of known size."""
     known = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
-        words = pa.array(known.value, pa.string())
-        for batch in batches:
-            lists = t.words_of(batch.column(0))
-            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = pc.index_in(lists.flatten(), words).fill_null(UNKNOWN - len(SPECIAL)).to_numpy(zero_copy_only=False).astype(np.int32) + len(SPECIAL)
-            ends = np.cumsum(n + 1)
-            out = np.full(int(ends[-1]) if len(ends) else 0, EOD, np.int32)
-            inside = np.ones(len(out), bool)
-            inside[ends - 1] = False
-            out[inside] = ids
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(offsets, pa.array(out))], names=[*batch.schema.names[1:], "token_ids"])
+        for batch, offsets, out in _token_batches(batches, known.value):
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=[*batch.schema.names[1:], "token_ids"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(F.make_valid_utf8("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, token_ids array<int>")
 
 
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Values of bytes: the elements of ``data`` between the ``offsets``."""
+    at = (offsets * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _elements(values: pa.Array, kind: str) -> np.ndarray:
+    """What all rows of a binary column hold, end to end."""
+    at = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(kind) if len(values) else np.empty(0, kind)
+
+
 def tokenised_by_file(docs: DataFrame, path: str, end: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The same with the tokenizer in a file that all executors see: .json (tokenizers) or .model (sentencepiece)."""
 
@@ -115,20 +133,97 @@ def tokenised_by_file(docs: DataFrame, path: str, end: int, keep: tuple[str, ...
     return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, token_ids array<int>")
 
 
-def packed(tokens: DataFrame, length: int = 2048, key: str = "doc_id") -> DataFrame:
+#: Tokens of a block of documents laid end to end.
+BLOCK = 1 << 18
+
+
+def as_lists(ids: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, ids.shape[1], dtype=np.int32)), pa.array(ids.ravel()))
+
+
+def as_digests(ids: np.ndarray) -> pa.Array:
+    """md5 of each row's ids as decimals with blanks between."""
+    texts = pc.binary_join(as_lists(ids).cast(pa.list_(pa.string())), " ")
+    return pa.array([hashlib.md5(x.as_buffer(), usedforsecurity=False).hexdigest() for x in texts], pa.string())
+
+
+def packed(tokens: DataFrame, length: int = 2048, key: str = "doc_id", form=as_lists, kind: str = "token_ids array<int>") -> DataFrame:
     """sample_id, token_ids: all documents in the order of ``key``, cut every ``length`` tokens; the rest of the last is left out.
 
-    A document gives one slice to each sample it reaches into, so arrays move, not tokens.
+    Rows without a key come last, rows with one key in the order of their tokens' hashes. ``form`` makes the column ``kind`` of samples, given as rows of ids.
+    """
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ids = _binary(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), lists.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+
+    ids = tokens.select(key, "token_ids").mapInArrow(run, f"`{key}` {tokens.schema[key].dataType.simpleString()}, ids binary")
+    return _packed(ids, "<i4", length, key, form, kind)
+
+
+def packed_texts(docs: DataFrame, vocab: list[str], length: int = 2048, key: str = "doc_id", form=as_lists, kind: str = "token_ids array<int>") -> DataFrame:
+    """``packed`` of the ``tokenised`` texts: their ids are bytes, of two each where that will do, from the words to the samples."""
+    known = docs.sparkSession.sparkContext.broadcast(vocab)
+    dtype = "<u2" if len(vocab) + len(SPECIAL) <= 1 << 16 else "<i4"
+
+    def run(batches):
+        for batch, offsets, out in _token_batches(batches, known.value):
+            yield pa.RecordBatch.from_arrays([batch.column(1), _binary(offsets, out.astype(dtype))], names=[key, "ids"])
+
+    ids = docs.select(F.make_valid_utf8("text").alias("_text"), key).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary")
+    return _packed(ids, dtype, length, key, form, kind)
+
+
+def _packed(ids: DataFrame, dtype: str, length: int, key: str, form, kind: str) -> DataFrame:
+    """The samples of ``key``, ids.
+
+    Documents are dealt by ranges of ``key`` (the one shuffle of tokens) and laid end to end in blocks; a table of one row per partition tells
+    where its first block starts. A block gives the samples that it holds whole; only its two ends, less than a sample each, are grouped with those of others.
     """
-    tokens = cut(tokens.select(key, "token_ids"), "tokens")
-    at = running(tokens.select(key, F.size("token_ids").alias("n")), [F.col(key)], F.col("n"), "start")
-    d = tokens.join(at, key).where("n > 0")
-    d = d.withColumn("sample_id", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("n") - 1) / length))))
-    a = F.greatest(F.col("sample_id") * length, F.col("start"))
-    b = F.least((F.col("sample_id") + 1) * length, F.col("start") + F.col("n"))
-    d = d.select("sample_id", F.struct(a.alias("at"), F.slice("token_ids", (a - F.col("start") + 1).cast("int"), (b - a).cast("int")).alias("ids")).alias("s"))
-    d = d.groupBy("sample_id").agg(F.array_sort(F.collect_list("s")).alias("s"))  # ``length`` tokens
-    return d.select("sample_id", F.flatten(F.transform("s", lambda x: x["ids"])).alias("token_ids")).where(F.size("token_ids") == length)
+    width = np.dtype(dtype).itemsize
+    size = BLOCK
+
+    def block(part, place, x):
+        ends = [x.tobytes(), x[: length - 1].tobytes(), x[max(0, len(x) - length + 1) :].tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([place]), pa.array([len(x)]), *(pa.array([e], pa.binary()) for e in ends)], names=["_part", "place", "n", "ids", "head", "tail"])
+
+    def lay(batches):
+        part, place, held = TaskContext.get().partitionId(), 0, np.empty(0, dtype)
+        for batch in batches:
+            held = np.concatenate([held, _elements(batch.column(0), dtype)])
+            whole = len(held) // size * size
+            for i in range(0, whole, size):
+                yield block(part, place + i, held[i : i + size])
+            place, held = place + whole, held[whole:]
+        if len(held):
+            yield block(part, place, held)
+
+    def samples(batches):
+        for batch in batches:
+            for place, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(value.as_buffer(), dtype)
+                skip = -place % length
+                n = max(0, len(x) - skip) // length
+                if n:
+                    first = (place + skip) // length
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), form(x[skip : skip + n * length].reshape(n, length).astype(np.int32))], names=["sample_id", kind.split()[0]])
+
+    d = cut(ids.withColumn("_tie", F.xxhash64("ids")), "tokens")
+    order = [F.col(key).asc_nulls_last(), F.col("_tie"), F.col("ids")]
+    parts = max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = d.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).select("ids")
+    d = carried(cut(d.mapInArrow(lay, "_part int, place long, n long, ids binary, head binary, tail binary"), "blocks"), "n", "place")
+    end, skip = F.col("place") + F.col("n"), F.pmod(-F.col("place"), F.lit(length))
+    over = end % length
+    head = F.when(skip > 0, F.struct(F.col("place").alias("at"), F.substring("head", F.lit(1), (F.least(skip, F.col("n")) * width).cast("int")).alias("ids")))
+    tail = F.when((over > 0) & (F.col("n") >= skip), F.struct((end - over).alias("at"), F.substring("tail", (F.octet_length("tail") - over * width + 1).cast("int"), (over * width).cast("int")).alias("ids")))
+    s = d.select(F.explode(F.array(head, tail)).alias("s")).where("s is not null")
+    s = s.groupBy(F.floor(F.col("s.at") / length).alias("sample_id")).agg(F.array_sort(F.collect_list("s")).alias("s"))  # ``length`` tokens
+    s = s.select((F.col("sample_id") * length).alias("place"), F.unhex(F.array_join(F.transform("s", lambda x: F.hex(x["ids"])), "")).alias("ids"))
+    return d.select("place", "ids").unionByName(s).mapInArrow(samples, f"sample_id long, {kind}")
 
 
 def epoch_plan(tokens_per_epoch: Column, samples: int, length: int = 2048, last: float = 0.8) -> list[Column]:

@@ -369,7 +369,8 @@ def tokenize_append_eod(spark, sf):
 
 @query("pack_sequences", f"select sample_id, md5(string_agg(id::VARCHAR, ' ' order by place)) as digest from (select id, (row_number() over (order by doc_id, pos) - 1) as place, (row_number() over (order by doc_id, pos) - 1) // 2048 as sample_id from (select doc_id, unnest(ids) as id, generate_subscripts(ids, 1) as pos from {_TOKENS})) group by sample_id having count(*) = 2048")
 def pack_sequences(spark, sf):
-    return corpus.packed(_tokens(spark, sf)).select("sample_id", _md5(F.array_join("token_ids", " ")).alias("digest"))
+    d = docs(spark, sf)
+    return corpus.packed_texts(d, corpus.vocabulary(d), form=corpus.as_digests, kind="digest string")
 
 
 @query("epoch_plan", f"""select n as tokens_per_epoch, (n - 1) // 2048 as samples_per_epoch, e as epochs, case when e = 1 then 5000 else 5000 - ((e - 1) * n - 1) // 2048 end as last_epoch_samples,

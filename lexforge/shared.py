@@ -91,6 +91,13 @@ def join_heads(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: i
     return marked.where("_head").drop("_head").unionByName(rest)
 
 
+def carried(d: DataFrame, amount: str, name: str) -> DataFrame:
+    """``d``, whose ``name`` counts from the start of the row's ``_part``, with what all parts before hold of ``amount`` added. Pass a table."""
+    sums = d.groupBy("_part").agg(F.sum(amount).alias("_sum"))  # one row a partition
+    first = sums.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    return d.join(F.broadcast(first), "_part").withColumn(name, (F.col(name) + F.col("_first")).cast("long")).drop("_first")
+
+
 def running(df: DataFrame, order: list[Column], amount: Column | None = None, name: str = "before") -> DataFrame:
     """``df`` with the sum of ``amount`` (1 if not given: the row's rank from 0) over all rows before each, in ``order``.
 
@@ -113,6 +120,4 @@ def running(df: DataFrame, order: list[Column], amount: Column | None = None, na
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
     d = cut(d.mapInArrow(run, f"{kinds}, `{name}` long"), "running")
-    sums = d.groupBy("_part").agg(F.sum("_amount").alias("_sum"))  # one row a partition
-    first = sums.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    return d.join(F.broadcast(first), "_part").select(*columns, (F.col(name) + F.col("_first")).cast("long").alias(name))
+    return carried(d, "_amount", name).select(*columns, name)

@@ -1,6 +1,7 @@
 import bz2
 import datetime
 import gzip
+import hashlib
 import json
 from collections import Counter
 
@@ -67,6 +68,37 @@ def test_packing(spark):
     assert got == {k: every[5 * k : 5 * k + 5] for k in range(len(every) // 5)}
 
 
+@pytest.mark.parametrize("length, block", [(1, 1), (4, 3), (5, 64), (50, 8)])
+def test_packing_blocks(spark, monkeypatch, length, block):
+    """Blocks shorter and longer than a sample; rows with one key, without a key and without tokens are packed once each."""
+    monkeypatch.setattr(corpus, "BLOCK", block)
+    rows = [(i, list(range(i * 100, i * 100 + i * 7 % 23))) for i in range(40)] + [(7, [70_001, 70_002]), (7, [70_003]), (None, [80_001, 80_002]), (50, None), (51, [])]
+    d = spark.createDataFrame(rows, "doc_id long, token_ids array<int>").repartition(6)
+    got = {r.sample_id: r.token_ids for r in corpus.packed(d, length).collect()}
+    flat = [x for _, ids in sorted(got.items()) for x in ids]
+    every = [x for k, ids in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)) for x in ids or []]
+    assert sorted(got) == list(range(len(every) // length)) and all(len(x) == length for x in got.values())
+    sevens = slice(*(every.index(x) for x in (700, 800)))
+    assert flat[: sevens.start] == every[: sevens.start] and flat[sevens.stop :] == every[sevens.stop : len(flat)]
+    assert sorted(flat[sevens]) == sorted(every[sevens]) and [x for x in flat[sevens] if x < 1000] == every[sevens][:3]
+
+
+def test_packing_texts(spark, monkeypatch):
+    """Ids kept as bytes, of two and of four each, and digests of samples are those of token lists."""
+    monkeypatch.setattr(corpus, "BLOCK", 16)
+    d = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9))) for i in range(30)] + [(30, None)], "doc_id long, text string")
+    for vocab in ([f"w{j}" for j in range(6)], [f"x{j}" for j in range(70_000)] + ["w3"]):
+        want = {r.sample_id: hashlib.md5(" ".join(map(str, r.token_ids)).encode()).hexdigest() for r in corpus.packed(corpus.tokenised(d, vocab), 6).collect()}
+        got = {r.sample_id: r.digest for r in corpus.packed_texts(d, vocab, 6, form=corpus.as_digests, kind="digest string").collect()}
+        assert got == want and len(got) > 20
+
+
+def test_packing_has_no_join_by_document(spark):
+    """Samples come of blocks as they lie; tokens are not dealt by document again."""
+    d = spark.createDataFrame([(1, [1, 2, 3])], "doc_id long, token_ids array<int>")
+    assert "doc_id" not in corpus.packed(d, 2)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tokenizer_file(spark):
     P = pytest.importorskip("public_tokenizers")
     d = spark.createDataFrame([(1, "hello world"), (2, "")], "doc_id long, text string")
