@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,40 @@ def char_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Values of bytes: the elements of ``data`` between the ``offsets``."""
+    at = (offsets * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _elements(values: pa.Array, kind: str) -> np.ndarray:
+    """What all rows of a binary column hold, end to end."""
+    at = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else [0, 0]
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(kind)
+
+
 #: Bytes of words that ``word_frequency`` counts at once.
 COUNTED = 64 << 20
+#: Parts, by hash, of all words: one is summed at a time.
+PARTS = 4096
 
 
-def word_frequency(docs: DataFrame) -> DataFrame:
-    """word, n. Arrow counts the words of ``COUNTED`` bytes of text at a time, so the JVM sees each of them once per piece."""
+def word_frequency(docs: DataFrame, most: int = 0) -> DataFrame:
+    """word, n; with ``most``, a task may leave out words that so many others of its own precede by n, or by word at equal n.
+
+    Arrow counts the words of ``COUNTED`` bytes of text at a time and sums the counts of each part. The JVM moves a part's words and counts as bytes, not as rows.
+    """
 
     def counts(held):
         n = pc.value_counts(pa.chunked_array(held))
-        return pa.RecordBatch.from_arrays([n.field("values"), n.field("counts")], names=["word", "n"])
+        words, n = n.field("values"), n.field("counts")
+        part = np.concatenate([np.fromiter(map(crc32, words[i : i + 65_536].cast(pa.binary()).to_pylist()), np.int64) for i in range(0, len(words), 65_536)]) % PARTS
+        order = np.argsort(part, kind="stable")
+        words, n = words.take(pa.array(order)), n.to_numpy()[order]
+        parts, first = np.unique(part[order], return_index=True)
+        first, at = np.append(first, len(n)), np.frombuffer(words.buffers()[1], np.int32)[: len(n) + 1]
+        data = _binary(at[first], np.frombuffer(words.buffers()[2], np.uint8))
+        return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), _binary(first, np.diff(at)), data, _binary(first, n)], names=["part", "lengths", "words", "counts"])
 
     def run(batches):
         held, size = [], 0
@@ -50,7 +75,52 @@ def word_frequency(docs: DataFrame) -> DataFrame:
         if held:
             yield counts(held)
 
-    return docs.select(F.make_valid_utf8("text").alias("_text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def unpacked(rows):
+        at = np.concatenate([[0], np.cumsum(_elements(rows.column(1), "<i4"), dtype=np.int64)])
+        words = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(_elements(rows.column(2), "u1"))])
+        return pa.table({"word": words, "n": _elements(rows.column(3), "<i8").copy()})
+
+    def summed(tables):
+        return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    def greatest(tables):
+        whole = pa.concat_tables(tables)
+        if len(whole) > most:
+            n = whole["n"].to_numpy()
+            whole = whole.filter(pa.array(n >= np.partition(n, -most)[-most]))
+        if len(whole) > 2 * most:  # equal counts
+            whole = whole.take(pc.select_k_unstable(whole, most, [("n", "descending"), ("word", "ascending")]))
+        return whole
+
+    def sums(batches):
+        held, size = [], 0
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            i = int(np.searchsorted(part, part[-1])) if len(part) else 0
+            if i:  # all parts but the batch's last are whole
+                yield summed([*held, unpacked(batch.slice(0, i))])
+                held, size = [], 0
+            held.append(unpacked(batch.slice(i)))
+            size += held[-1].nbytes
+            if size >= COUNTED:
+                held, size = [summed(held)], 0
+        if held:
+            yield summed(held)
+
+    def chosen(batches):
+        held = []
+        for table in sums(batches):
+            held.append(table)
+            if not most:
+                yield from held.pop().cast(shape).to_batches()
+            elif sum(map(len, held)) > 4 * most:
+                held = [greatest(held)]
+        if held:
+            yield from greatest(held).cast(shape).to_batches()
+
+    shape = pa.schema([("word", pa.string()), ("n", pa.int64())])
+    d = docs.select(F.make_valid_utf8("text").alias("_text")).mapInArrow(run, "part int, lengths binary, words binary, counts binary")
+    return d.repartition("part").sortWithinPartitions("part").mapInArrow(chosen, "word string, n long")
 
 
 def covering_alphabet(docs: DataFrame, coverage: float = 0.9995) -> DataFrame:
@@ -68,7 +138,7 @@ def training_sentences(docs: DataFrame, most_bytes: int = 4192) -> DataFrame:
 
 def vocabulary(docs: DataFrame, size: int = 32_000) -> list[str]:
     """The most frequent words beside the special tokens: at most ``size`` strings reach the driver."""
-    rows = word_frequency(docs).where(~F.col("word").isin(*SPECIAL)).orderBy(F.desc("n"), "word").limit(size - len(SPECIAL)).collect()
+    rows = word_frequency(docs, size).where(~F.col("word").isin(*SPECIAL)).orderBy(F.desc("n"), "word").limit(size - len(SPECIAL)).collect()
     return [r["word"] for r in rows]
 
 
@@ -100,18 +170,6 @@ def tokenised(docs: DataFrame, vocab: list[str], keep: tuple[str, ...] = ("doc_i
     return docs.select(F.make_valid_utf8("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, token_ids array<int>")
 
 
-def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
-    """Values of bytes: the elements of ``data`` between the ``offsets``."""
-    at = (offsets * data.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-def _elements(values: pa.Array, kind: str) -> np.ndarray:
-    """What all rows of a binary column hold, end to end."""
-    at = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
-    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(kind) if len(values) else np.empty(0, kind)
-
-
 def tokenised_by_file(docs: DataFrame, path: str, end: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The same with the tokenizer in a file that all executors see: .json (tokenizers) or .model (sentencepiece)."""
 

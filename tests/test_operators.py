@@ -61,6 +61,23 @@ def test_near_copies(spark):
     assert {r.doc_id for r in dedup.near_copies(d, ["source"]).collect() if r.is_rejected} == {2}
 
 
+def test_word_frequency_by_parts(spark, monkeypatch):
+    """Words are moved as bytes of their part; the greatest counts, and at equal counts the first words, are all there whatever a task leaves out."""
+    words = [f"w{i:03}" for i in range(300)] + ["é" * 9, "\U0001f600", "x" * 70_000]
+    rows = [(k, " ".join(w for i, w in enumerate(words) if i % 5 <= k % 5)) for k in range(23)] + [(23, None), (24, " ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = Counter(w for _, x in rows for w in (x or "").split())
+    assert "HashAggregate" not in corpus.word_frequency(d)._jdf.queryExecution().executedPlan().toString()
+    for counted, parts in ((corpus.COUNTED, corpus.PARTS), (1, 3), (2000, 1)):
+        monkeypatch.setattr(corpus, "COUNTED", counted)
+        monkeypatch.setattr(corpus, "PARTS", parts)
+        got = [tuple(r) for r in corpus.word_frequency(d).collect()]
+        assert sorted(got) == sorted(want.items())
+        for most in (1, 7, 61, 1000):
+            first = corpus.word_frequency(d, most).orderBy(F.desc("n"), "word").limit(most).collect()
+            assert list(map(tuple, first)) == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:most]
+
+
 def test_packing(spark):
     d = spark.createDataFrame([(i, list(range(i * 10, i * 10 + i))) for i in range(1, 8)], "doc_id long, token_ids array<int>")
     every = [x for i in range(1, 8) for x in range(i * 10, i * 10 + i)]
