@@ -43,10 +43,12 @@ def _elements(values: pa.Array, kind: str) -> np.ndarray:
 COUNTED = 64 << 20
 #: Parts, by hash, of all words: one is summed at a time.
 PARTS = 4096
+#: Most tasks whose greatest counts one task, or the driver, takes.
+FAN = 16
 
 
 def word_frequency(docs: DataFrame, most: int = 0) -> DataFrame:
-    """word, n; with ``most``, a task may leave out words that so many others of its own precede by n, or by word at equal n.
+    """word, n; with ``most``, a task may leave out words that so many others of its own precede by n, or by word at equal n, and at most ``FAN`` tasks have rows.
 
     Arrow counts the words of ``COUNTED`` bytes of text at a time and sums the counts of each part. The JVM moves a part's words and counts as bytes, not as rows.
     """
@@ -56,8 +58,10 @@ def word_frequency(docs: DataFrame, most: int = 0) -> DataFrame:
         words, n = n.field("values"), n.field("counts")
         part = np.concatenate([np.fromiter(map(crc32, words[i : i + 65_536].cast(pa.binary()).to_pylist()), np.int64) for i in range(0, len(words), 65_536)]) % PARTS
         order = np.argsort(part, kind="stable")
-        words, n = words.take(pa.array(order)), n.to_numpy()[order]
-        parts, first = np.unique(part[order], return_index=True)
+        return bytes_of(part[order], words.take(pa.array(order)), n.to_numpy()[order])
+
+    def bytes_of(part, words, n):
+        parts, first = np.unique(part, return_index=True)
         first, at = np.append(first, len(n)), np.frombuffer(words.buffers()[1], np.int32)[: len(n) + 1]
         data = _binary(at[first], np.frombuffer(words.buffers()[2], np.uint8))
         return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), _binary(first, np.diff(at)), data, _binary(first, n)], names=["part", "lengths", "words", "counts"])
@@ -107,20 +111,45 @@ def word_frequency(docs: DataFrame, most: int = 0) -> DataFrame:
         if held:
             yield summed(held)
 
-    def chosen(batches):
-        held = []
+    def every(batches):
         for table in sums(batches):
+            yield from table.cast(shape).to_batches()
+
+    def chosen(tables):
+        held = []
+        for table in tables:
             held.append(table)
-            if not most:
-                yield from held.pop().cast(shape).to_batches()
-            elif sum(map(len, held)) > 4 * most:
+            if sum(map(len, held)) > 4 * most:
                 held = [greatest(held)]
-        if held:
-            yield from greatest(held).cast(shape).to_batches()
+        return greatest(held).cast(shape).combine_chunks() if held else shape.empty_table()
+
+    def row(top):
+        """All that a task has chosen as one row."""
+        if len(top):
+            words = pa.concat_arrays([*top["word"].chunks, pa.array([], pa.string())])
+            yield bytes_of(np.full(len(words), TaskContext.get().partitionId()), words, top["n"].to_numpy())
+
+    def rows(batches):
+        return (unpacked(batch.slice(i, 1)) for batch in batches for i in range(len(batch)))
+
+    def first(batches):
+        yield from row(chosen(sums(batches)))
+
+    def again(batches):
+        yield from row(chosen(rows(batches)))
+
+    def last(batches):
+        yield from chosen(rows(batches)).to_batches()
 
     shape = pa.schema([("word", pa.string()), ("n", pa.int64())])
-    d = docs.select(F.make_valid_utf8("text").alias("_text")).mapInArrow(run, "part int, lengths binary, words binary, counts binary")
-    return d.repartition("part").sortWithinPartitions("part").mapInArrow(chosen, "word string, n long")
+    packed = "part int, lengths binary, words binary, counts binary"
+    d = docs.select(F.make_valid_utf8("text").alias("_text")).mapInArrow(run, packed).repartition("part").sortWithinPartitions("part")
+    if not most:
+        return d.mapInArrow(every, "word string, n long")
+    d, tasks = d.mapInArrow(first, packed), max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    while (tasks := -(-tasks // FAN)) > FAN:
+        d = d.repartition(tasks, "part").mapInArrow(again, packed)
+    return d.repartition(tasks, "part").mapInArrow(last, "word string, n long")
 
 
 def covering_alphabet(docs: DataFrame, coverage: float = 0.9995) -> DataFrame:

@@ -78,6 +78,24 @@ def test_word_frequency_by_parts(spark, monkeypatch):
             assert list(map(tuple, first)) == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:most]
 
 
+def test_few_tasks_send_words_to_the_driver(spark, monkeypatch):
+    """However many tasks count, at most FAN of them have rows, and the vocabulary is that of all words."""
+    monkeypatch.setattr(corpus, "FAN", 2)
+    monkeypatch.setattr(corpus, "COUNTED", 1)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        rows = [(k, " ".join(f"w{i}" for i in range(k, k + 40))) for k in range(0, 400, 7)]
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        want = Counter(w for _, x in rows for w in x.split())
+        f = corpus.word_frequency(d, 20)
+        assert f.rdd.getNumPartitions() <= 2
+        assert corpus.vocabulary(d, 20 + len(corpus.SPECIAL)) == [w for w, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[:20]]
+        assert corpus.vocabulary(d.where("doc_id < 0")) == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_packing(spark):
     d = spark.createDataFrame([(i, list(range(i * 10, i * 10 + i))) for i in range(1, 8)], "doc_id long, token_ids array<int>")
     every = [x for i in range(1, 8) for x in range(i * 10, i * 10 + i)]
